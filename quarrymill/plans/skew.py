@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from quarrymill.plans.storage import materialize
+
 BROADCAST_ROWS = 100_000
 SALTS = 32
 
@@ -34,3 +36,22 @@ def attach_counts(rows: DataFrame, counts: DataFrame, on: str, count: str, salt:
     known = attach(rows, hot, [on], "left", salt)
     cold = known.where(F.col(count).isNull()).select(*rows.columns).join(counts.where(F.col(count) <= hot_rows), on)
     return cold.unionByName(known.where(F.col(count).isNotNull()))
+
+
+def block_join(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str, block: int = 1000) -> DataFrame:
+    """Inner join on `key` where both sides may have very many rows of one key.
+
+    A key with more than `block` rows on a side is cut on that side into blocks by a hash of the id, and
+    every block of one side meets every block of the other in a join of its own (key, block, block).
+    """
+    count = lambda d, c: d.groupBy(key).agg(F.ceil(F.count("*") / block).alias(c))
+    parts = count(left, "_cl").join(count(right, "_cr"), key).where("_cl > 1 or _cr > 1")
+    parts = materialize(parts, "join-blocks")
+    if parts.isEmpty():
+        return left.join(right, key)
+    one = lambda c: F.coalesce(c, F.lit(1))
+    mine = lambda i, c: F.pmod(F.xxhash64(i), one(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), one(c).cast("int") - 1))
+    a = attach(left, parts, [key], "left", [left_id]).withColumn("_i", mine(left_id, "_cl")).withColumn("_j", every("_cr")).drop("_cl", "_cr")
+    b = attach(right, parts, [key], "left", [right_id]).withColumn("_j", mine(right_id, "_cr")).withColumn("_i", every("_cl")).drop("_cl", "_cr")
+    return a.join(b, [key, "_i", "_j"]).drop("_i", "_j")
