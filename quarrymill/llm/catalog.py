@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarrymill.functions.text import letters_only_words
+from quarrymill.llm.contamination import RUN, leaked_items
 from quarrymill.llm.cooccurrence import cooccurrence
 from quarrymill.llm.distinctive_terms import distinctive_terms, term_counts
 from quarrymill.llm.heavy_hitters import heavy_hitters
+from quarrymill.llm.packing import pack_documents
 from quarrymill.llm.sampling import fixed_size_sample
 from quarrymill.llm.set_join import similar_sets
 from quarrymill.plans.storage import materialize
 from quarrymill.sources.tables import counted_reviews, counted_tags, table, visits
 
 
+#: Where the vocabulary files of public tokenizers lie.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of businesses that five users or more visited both, at least five times as often as by chance."""
     pairs = cooccurrence(visits(spark, folder), "user_id", "business_id", min_both=5, min_lift=5)
@@ -75,7 +83,23 @@ def p5_scores(spark: SparkSession, folder: str) -> DataFrame:
     return distinctive_terms(counts, "business_id", m, norm="l2", smooth=True)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_sample, p3_found, p3_pairs, p4_found, p4_counts, p5_found, p5_scores)}
+def p7_pack(spark: SparkSession, folder: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """Documents in containers of 2,048 tokens."""
+    return pack_documents(table(spark, folder, "documents"), tokenizers, capacity=2048)
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents holding 12 consecutive words of an item, or the whole of a shorter one."""
+    leaks = p8_leaks(spark, folder).where(F.col("run") >= F.least(F.lit(RUN), "item_words"))
+    return leaks.select("doc_id", "item_id")
+
+
+def p8_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact and edited leaks with their alignment scores."""
+    return leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_item"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_sample, p3_found, p3_pairs, p4_found, p4_counts, p5_found, p5_scores, p7_pack, p8_found, p8_leaks)}
 
 _BASKETS = r"""
 with v as (
