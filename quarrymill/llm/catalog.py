@@ -14,6 +14,7 @@ from quarrymill.llm.heavy_hitters import heavy_hitters
 from quarrymill.llm.packing import pack_documents
 from quarrymill.llm.sampling import fixed_size_sample
 from quarrymill.llm.set_join import similar_sets
+from quarrymill.llm.stuffing import stuffed_pages
 from quarrymill.plans.storage import materialize
 from quarrymill.sources.tables import counted_reviews, counted_tags, table, visits
 
@@ -99,7 +100,17 @@ def p8_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_item"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_sample, p3_found, p3_pairs, p4_found, p4_counts, p5_found, p5_scores, p7_pack, p8_found, p8_leaks)}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents more than half of whose words are keyword repetition or lists."""
+    return p9_scores(spark, folder).where("2 * stuffed_words > words").select("doc_id")
+
+
+def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of stuffed words and the mean mutual information of every document."""
+    return stuffed_pages(table(spark, folder, "documents"), table(spark, folder, "page_label"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_sample, p3_found, p3_pairs, p4_found, p4_counts, p5_found, p5_scores, p7_pack, p8_found, p8_leaks, p9_found, p9_scores)}
 
 _BASKETS = r"""
 with v as (
