@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quarrymill.functions.text import letters_only_words
 from quarrymill.llm.contamination import RUN, leaked_items
 from quarrymill.llm.cooccurrence import cooccurrence
-from quarrymill.llm.distinctive_terms import distinctive_terms, term_counts
+from quarrymill.llm.distinctive_terms import distinctive_terms
 from quarrymill.llm.heavy_hitters import heavy_hitters
 from quarrymill.llm.packing import pack_documents
 from quarrymill.llm.sampling import fixed_size_sample
 from quarrymill.llm.set_join import similar_sets
 from quarrymill.llm.stuffing import stuffed_pages
+from quarrymill.operators.text_profiles import rounded, term_counts
 from quarrymill.plans.storage import materialize
 from quarrymill.sources.tables import counted_reviews, counted_tags, table, visits
 
@@ -81,7 +82,8 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 def p5_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Every word of every business, scored with smoothed idf and length normalisation."""
     counts, m = review_words(spark, folder)
-    return distinctive_terms(counts, "business_id", m, norm="l2", smooth=True)
+    scores = distinctive_terms(counts, "business_id", m, norm="l2", smooth=True)
+    return scores.withColumn("score", rounded(F.col("score")))
 
 
 def p7_pack(spark: SparkSession, folder: str, tokenizers: str = TOKENIZERS) -> DataFrame:
@@ -148,7 +150,17 @@ m as (select count(*) m from docs),
 raw as (select b, unnest(string_split(lower(regexp_replace(text, '[^a-zA-Z]', ' ', 'g')), ' ')) word from docs),
 tf as (select b, word, count(*) f from raw where word <> '' and word not in (select word from stopword) group by 1, 2),
 df as (select word, count(*) d from tf group by 1),
-sz as (select b, max(f) fmax, sqrt(sum(f * f)) norm from tf group by 1)
+sz as (select b, max(f) fmax, sqrt(sum(f * f)::double) norm from tf group by 1)
+"""
+_RUNS = r"""
+with w as (
+  select doc_id id, true is_doc, regexp_extract_all(lower(regexp_replace(text, '<[^>]*>', ' ', 'g')), '[a-z0-9]+') w from documents where text is not null
+  union all
+  select item_id, false, regexp_extract_all(lower(regexp_replace(text, '<[^>]*>', ' ', 'g')), '[a-z0-9]+') from eval_item where text is not null),
+i as (select id, w, least(12, len(w)) n from w where not is_doc and len(w) > 0),
+g as (select distinct id item_id, n, array_to_string(w[k : k + n - 1], ' ') g from (select *, unnest(range(1, len(w) - n + 2)) k from i)),
+k as (select distinct n from g),
+d as (select distinct id doc_id, n, array_to_string(w[p : p + n - 1], ' ') g from (select id, w, n, unnest(range(1, len(w) - n + 2)) p from w, k where is_doc))
 """
 ORACLES = {
     "p1_found": _BASKETS + "select b1 business_id_1, b2 business_id_2 from p join n n1 on b1 = n1.b join n n2 on b2 = n2.b, t where p.c * big >= 5 * n1.c * n2.c",
@@ -160,4 +172,6 @@ ORACLES = {
     "p5_found": _WORDS + """select b business_id, word from (
   select b, word, f / fmax * log2(m / d) score from tf join df using (word) join sz using (b), m where f >= 5)
 qualify row_number() over (partition by b order by score desc, word) <= 3""",
+    "p5_scores": _WORDS + "select b business_id, word, f, d, floor(f / norm * log2(m / d + 1) * 1e6 + 0.5) / 1e6 score from tf join df using (word) join sz using (b), m",
+    "p8_found": _RUNS + "select distinct doc_id, item_id from d join g using (n, g)",
 }

@@ -8,12 +8,6 @@ from quarrymill.plans.skew import attach_counts
 from quarrymill.plans.storage import materialize
 
 
-def term_counts(texts: DataFrame, record: str, words: str, stop: DataFrame | None = None) -> DataFrame:
-    """(record, word, f) from rows with an array of words; a record may have many rows, however many."""
-    counts = texts.select(record, F.explode(words).alias("word")).where("word is not null").groupBy(record, "word").agg(F.count("*").alias("f"))
-    return counts.join(stop.select(F.col("word")).distinct(), "word", "left_anti") if stop is not None else counts
-
-
 def distinctive_terms(counts: DataFrame, record: str, n_docs: int, min_f: int = 1, top: int | None = None, norm: str = "max", smooth: bool = False) -> DataFrame:
     """Score = normalised frequency times logarithmic inverse document frequency.
 
