@@ -23,7 +23,8 @@ def keyed_median(rows: DataFrame, keys: list[str], value: str, ident: str, min_r
     an empty table gives none. Other columns are ignored. Result: the keys, `ident`, `value`, n.
     """
     low = F.lit(NULL_VALUE)
-    base = rows.select(*keys, F.coalesce(value, low).alias("_v"), F.coalesce(ident, low).alias("_i")).dropna(subset=keys)
+    names, keys = keys, [f"_k{i}" for i in range(len(keys))]  # free of clashes with the columns below
+    base = rows.select(*[F.col(c).alias(k) for c, k in zip(names, keys)], F.coalesce(value, low).alias("_v"), F.coalesce(ident, low).alias("_i")).dropna(subset=keys)
     counts = base.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_v").alias("v0"), F.max("_v").alias("v1"), F.min("_i").alias("i0"), F.max("_i").alias("i1"))
     hot = materialize(counts.where(F.col("n") > hot_rows), "hot-keys")
     found = _ranked(attach(base, hot.select(*keys), keys, "left_anti", ["_i"]), keys, min_rows)
@@ -39,7 +40,7 @@ def keyed_median(rows: DataFrame, keys: list[str], value: str, ident: str, min_r
             break
         state = materialize(_refined(base, state, keys, hot_rows, bin_bits), "quantile-state")
     out = lambda c: F.nullif(c, low)
-    return found.select(*keys, out(F.col("_i")).alias(ident), out(F.col("_v")).alias(value), "n")
+    return found.select(*[F.col(k).alias(c) for c, k in zip(names, keys)], out(F.col("_i")).alias(ident), out(F.col("_v")).alias(value), "n")
 
 
 def _ranked(rows: DataFrame, keys: list[str], min_rows: int) -> DataFrame:

@@ -288,5 +288,5 @@ a as (select u, avg(stars) s, sum(stars)::bigint t, count(*) n from train group
 near as (select t.u, t.i, r.stars - (a.t - r.stars) / nullif(a.n - 1, 0) above, w.sim from test t join train r on r.i = t.i join a on a.u = r.u join w on w.u = t.u and w.o = r.u
   qualify row_number() over (partition by t.u, t.i order by sim desc, r.u) <= 15),
 p as (select u, i, sum(above * sim) / sum(abs(sim)) s from near where above is not null group by 1, 2)
-select test.u "user", test.i item, {_R('coalesce(least(a.s + p.s, 5), a.s)', 'stars')} from test join a on a.u = test.u left join p on p.u = test.u and p.i = test.i""",
+select test.u "user", test.i item, {_R('case when p.s is null then a.s else least(a.s + p.s, 5) end', 'stars')} from test join a on a.u = test.u left join p on p.u = test.u and p.i = test.i""",
 }
