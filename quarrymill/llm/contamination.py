@@ -82,9 +82,9 @@ class Items:
         return np.concatenate(found), np.concatenate(places)
 
     def seeds(self, in_docs: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
-        """For each window of RUN words its rarest n-gram by documents of the corpus; none where that is in no document.
+        """For each window of RUN words its rarest n-gram among those that some document holds.
 
-        A copy of the window holds that n-gram, so no exact leak is lost.
+        A copy of the window holds all its n-grams, so no exact leak is lost; an edited copy holds some.
         """
         rarity: dict[int, list[int]] = {i: [0] * max(1, len(w) - GRAM + 1) for i, w in self.words.items()}
         number = {i: r.copy() for i, r in rarity.items()}
@@ -95,8 +95,9 @@ class Items:
         for i, r in rarity.items():
             span = min(len(r), RUN - GRAM + 1)
             for k in range(len(r) - span + 1):
-                j = min(range(k, k + span), key=lambda x: (r[x], x))
-                if r[j]:
+                held = [(r[x], x) for x in range(k, k + span) if r[x]]
+                if held:
+                    j = min(held)[1]
                     chosen.add((number[i][j], i, j))
         out: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for g, i, j in sorted(chosen):
