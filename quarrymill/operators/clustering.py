@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from quarrymill.plans.shipping import ship
 from quarrymill.plans.storage import materialize
 
 #: Fixed value: added to a variance, so that a cluster without spread takes only equal points.
@@ -117,6 +118,7 @@ def group_summaries(points: DataFrame, by: str) -> tuple[list, Summaries]:
 
 def nearest(points: DataFrame, clusters: Summaries, metric: str) -> DataFrame:
     """points with `cluster` (number of the nearest, the first of equal ones) and `distance` (squared)."""
+    ship(points.sparkSession)
     measure = clusters.mahalanobis if metric == "mahalanobis" else lambda x: euclidean(x, clusters.centroid)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,6 +176,7 @@ class Bfr:
 
     def fit(self, points: DataFrame) -> Bfr:
         spark = self.spark = points.sparkSession
+        ship(spark)
         points = materialize(points.select("id", "features", "round"), "bfr-points")
         self.stats: list[tuple] = []
         self.cs = Summaries(np.zeros(0), np.zeros((0, 0)), np.zeros((0, 0)))
