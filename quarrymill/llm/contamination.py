@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from quarrymill.plans.shipping import ship
 from quarrymill.plans.storage import materialize
 
 GRAM = 4
@@ -121,6 +122,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_
     out; repeated rows of an id give one row, the best; other columns are not used; empty tables give no row.
     Ids are bigint. Result: doc_id, item_id, run, score, item_words, doc_from, doc_to (words of the passage).
     """
+    ship(docs.sparkSession)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("text")).where("doc_id is not null and text is not null")
     items = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null and text is not null")
     out = None

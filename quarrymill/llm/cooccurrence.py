@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quarrymill.plans.skew import attach
+from quarrymill.plans.shipping import ship
 from quarrymill.plans.storage import materialize
 
 #: A record block is expanded at most so many pairs at a time.
@@ -30,6 +31,7 @@ def cooccurrence(rows: DataFrame, basket: str, item: str, min_both: int = 1, min
     Rows with a null basket or item are ignored, repeated rows count once, other columns are not used; an
     empty table gives no pair. Items are strings.
     """
+    ship(rows.sparkSession)
     held = rows.select(F.col(basket).alias("basket"), F.col(item).alias("item")).dropna().distinct()
     held = materialize(held, "baskets")
     items = materialize(held.groupBy("item").agg(F.count("*").alias("n")), "items")

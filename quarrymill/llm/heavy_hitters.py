@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from quarrymill.plans.shipping import ship
+
 #: Lengths of the hash prefixes that have a sketch each; a child of a prefix has 8 more bits.
 LEVELS = (8, 16, 24, 32, 40, 48, 56, 64)
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2127599BF4325C37)
@@ -106,6 +108,7 @@ def build_sketch(hashes: DataFrame, depth: int, width_bits: int) -> tuple[Sketch
         if total:
             yield _rows([(p, zlib.compress(c.tobytes(), 1), n * (i == 0)) for i, (p, c) in enumerate(total.items())])
 
+    ship(hashes.sparkSession)
     schema = "part int, cells binary, n long"
     parts = len(LEVELS) * depth
     # one row of counters per part: a task adds up whatever number of them, holding at most the whole sketch

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from quarrymill.plans.shipping import ship
+
 #: Pieces that a worker packs together; more of them gain little, fewer leave more last bins half full.
 WINDOW = 50_000
 #: Fixed value: the splitting pattern of the byte-level vocabularies.
@@ -96,6 +98,7 @@ def pack_documents(docs: DataFrame, folder: str, vocabulary: str = "byte_bpe_50k
         if ids:
             yield from _packed(ids, tokens, capacity, f"{part}-{turn}")
 
+    ship(docs.sparkSession)
     return docs.select(doc_id, text).mapInArrow(run, PACKED)
 
 

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quarrymill.plans.skew import attach
+from quarrymill.plans.shipping import ship
 from quarrymill.plans.storage import materialize
 
 FAN_OUT = 256
@@ -29,6 +30,7 @@ def fixed_size_sample(rows: DataFrame, piece: str, ident: list[str], k: int = 10
     a piece. The same seed and rows give the same sample whatever the partitioning. An empty table or k = 0
     gives no row. Columns of the result are those of `rows`.
     """
+    ship(rows.sparkSession)
     if k <= 0 or rows.isEmpty():
         return rows.limit(0)
     name = F.coalesce(F.col(piece).cast("string"), F.lit("\0null"))
