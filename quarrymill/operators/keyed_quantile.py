@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quarrymill.plans.skew import attach
-from quarrymill.plans.storage import materialize
+from quarrymill.plans.storage import discard, materialize
 
 NULL_VALUE = -(2**63)
 
@@ -38,7 +38,8 @@ def keyed_median(rows: DataFrame, keys: list[str], value: str, ident: str, min_r
             last = at.withColumn("at", F.row_number().over(w)).where("at = k")
             found = found.unionByName(single).unionByName(last.select(*keys, "_i", "_v", "n"))
             break
-        state = materialize(_refined(base, state, keys, hot_rows, bin_bits), "quantile-state")
+        before, state = state, materialize(_refined(base, state, keys, hot_rows, bin_bits), "quantile-state")
+        discard(before)
     out = lambda c: F.nullif(c, low)
     return found.select(*[F.col(k).alias(c) for c, k in zip(names, keys)], out(F.col("_i")).alias(ident), out(F.col("_v")).alias(value), "n")
 
