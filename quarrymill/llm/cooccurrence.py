@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ from quarrymill.plans.storage import materialize
 
 #: A record block is expanded at most so many pairs at a time.
 PAIRS_AT_ONCE = 4_000_000
+#: Rows in a batch that goes back to Spark.
+ROWS_OUT = 100_000
 #: Up to so many distinct items, a record block is multiplied as a dense matrix.
 DENSE_ITEMS = 768
 
@@ -82,8 +85,11 @@ def _gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = batch.column(0), batch.column(1)
         both = np.asarray(right.is_valid())
         alone = left.filter(pa.array(~both))
-        for a, b, n in [*_within(alone), *_between(left.filter(pa.array(both)), right.filter(pa.array(both)))]:
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], ["a", "b", "n"])
+        across = _between(left.filter(pa.array(both)), right.filter(pa.array(both)))
+        for a, b, n in chain(_within(alone), across):
+            sums = pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], ["a", "b", "n"])
+            for k in range(0, len(sums), ROWS_OUT):
+                yield sums.slice(k, ROWS_OUT)
 
 
 def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
