@@ -10,6 +10,7 @@ from quarrymill.functions.text import clean_id, letters_only_words
 from quarrymill.operators import lsh, ratings as cf, text_profiles as tp
 from quarrymill.operators.baskets import baskets, filter_join, market_baskets
 from quarrymill.operators.itemsets import candidates, frequent_itemsets, itemset_report
+from quarrymill.plans.storage import materialize
 from quarrymill.sources.tables import counted_reviews, table, visits
 
 
@@ -75,7 +76,8 @@ def itemset_report_lines(spark: SparkSession, folder: str) -> DataFrame:
 def part_buyers(spark: SparkSession, folder: str) -> DataFrame:
     """(part, customer): who bought what."""
     orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("customer"))
-    return table(spark, folder, "lineitem").select("l_orderkey", F.col("l_partkey").alias("part")).join(orders, "l_orderkey").select("part", "customer").distinct()
+    bought = table(spark, folder, "lineitem").select("l_orderkey", F.col("l_partkey").alias("part")).join(orders, "l_orderkey")
+    return materialize(bought.select("part", "customer").distinct(), "part-buyers")
 
 
 def minhash_signatures(spark: SparkSession, folder: str) -> DataFrame:
@@ -99,7 +101,7 @@ def _counts(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
     texts = counted_reviews(table(spark, folder, "review"), "business_id", "text").where("business_id is not null and text is not null")
     with_text = counted_reviews(table(spark, folder, "review").withColumn("has_text", F.expr("text is not null")), "business_id", "has_text")
     counts = tp.term_counts(texts.select("business_id", letters_only_words("text").alias("words")), "business_id", "words", table(spark, folder, "stopword"))
-    return counts, with_text.where("business_id is not null and has_text").count()
+    return materialize(counts, "term-counts"), with_text.where("business_id is not null and has_text").count()
 
 
 def tf_words(spark: SparkSession, folder: str) -> DataFrame:
@@ -118,7 +120,7 @@ def business_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _profiles(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    of_business = business_profile(spark, folder)
+    of_business = materialize(business_profile(spark, folder), "business-profiles")
     seen = counted_reviews(table(spark, folder, "review"), "user_id", "business_id")
     return seen, tp.user_profiles(seen, "user_id", "business_id", of_business), of_business
 
@@ -131,7 +133,7 @@ def user_profile(spark: SparkSession, folder: str) -> DataFrame:
 def content_predict(spark: SparkSession, folder: str) -> DataFrame:
     """Similarity of users and businesses for the pairs of the visits."""
     _, users, businesses = _profiles(spark, folder)
-    out = tp.content_predict(visits(spark, folder), "user_id", "business_id", users, businesses)
+    out = tp.content_predict(visits(spark, folder), "user_id", "business_id", materialize(users, "user-profiles"), businesses)
     return out.select("user_id", "business_id", tp.rounded(F.col("sim")).alias("sim"))
 
 
@@ -139,7 +141,7 @@ def _rated(spark: SparkSession, folder: str) -> DataFrame:
     """Customers rate parts by a fifth of the quantity: 1 to 5 stars."""
     orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", F.ceil(F.col("l_quantity") / 10).alias("stars"))
-    return cf.ratings(lines.join(orders, "l_orderkey"), "o_custkey", "l_partkey", "stars")
+    return materialize(cf.ratings(lines.join(orders, "l_orderkey"), "o_custkey", "l_partkey", "stars"), "ratings")
 
 
 _HELD_OUT = "(user * 31 + item) % 10 = 0"
