@@ -6,6 +6,8 @@ import random
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quarrymill.plans.storage import materialize
+
 #: The multipliers and shifts of the ten membership hashes, their modulus and the number of positions.
 BLOOM_HASHES = [(18124, 99463), (71730, 39428), (13483, 99262), (90482, 9985), (13453, 90097), (25413, 40901), (69022, 50309), (6275, 68046), (27354, 50241), (14428, 51089)]
 BLOOM_MODULUS = 10039
@@ -72,17 +74,18 @@ def fm_distinct(values: DataFrame, column: str, hashes: int = 1000, group: int =
 
     clamp=True also needs the true number: an estimate outside 0.5 to 1.5 times it becomes 0.85 times it.
     """
-    groups = groups or []
+    if not groups:
+        return fm_distinct(values.withColumn("_all", F.lit(0)), column, hashes, group, seed, ["_all"], clamp).drop("_all")
     zeros = fm_zeros(values, column, hashes, seed, groups).withColumn("e", F.pow(F.lit(2.0), "zeros"))
     # as many rows as hash functions in each group
-    place = F.row_number().over(Window.partitionBy(*groups, F.lit(0)).orderBy("e", "hash_no")) - 1
+    place = F.row_number().over(Window.partitionBy(*groups).orderBy("e", "hash_no")) - 1
     runs = zeros.withColumn("run", F.floor(place / group)).where(F.col("run") < hashes // group)
     means = runs.groupBy(*groups, "run").agg(F.avg("e").alias("mean"))
     out = means.groupBy(*groups).agg(F.percentile("mean", F.lit(0.5)).alias("estimate"))
     if not clamp:
         return out
     truth = values.where(F.col(column).isNotNull()).groupBy(*groups).agg(F.count_distinct(column).alias("truth"))
-    out = out.join(truth, groups) if groups else out.join(F.broadcast(truth))
+    out = out.join(truth, groups)
     outside = (F.col("estimate") <= 0.5 * F.col("truth")) | (F.col("estimate") >= 1.5 * F.col("truth"))
     return out.select(*groups, F.when(outside, 0.85 * F.col("truth")).otherwise(F.col("estimate")).alias("estimate"))
 
@@ -93,6 +96,7 @@ def reservoir(rows: DataFrame, ident: list[str], n: int = 100, seed: str = "0")
 
 
 def top_levels(values: DataFrame, column: str, levels: int = 3) -> DataFrame:
-    """(value, count) of the `levels` highest counts, all ties kept; for a sample, whose size is bounded."""
-    counts = values.groupBy(column).agg(F.count("*").alias("count"))
-    return counts.withColumn("level", F.dense_rank().over(Window.orderBy(F.desc("count")))).where(F.col("level") <= levels).drop("level")
+    """(value, count) of the `levels` highest different counts, all ties kept."""
+    counts = materialize(values.groupBy(column).agg(F.count("*").alias("count")), "value-counts")
+    highest = counts.select("count").distinct().orderBy(F.desc("count")).limit(levels)
+    return counts.join(F.broadcast(highest), "count", "left_semi").select(column, "count")  # `levels` rows
