@@ -24,7 +24,7 @@ def test_lloyd_puts_each_point_to_its_nearest_mean(points, k):
 def blobs(spark, n=300, rounds=3):
     draw = np.random.default_rng(4)
     centers = np.array([[0, 0], [30, 0], [0, 30]])
-    data = [(i, [float(v) for v in centers[i % 3] + draw.normal(0, 1, 2)], i % rounds) for i in range(n)]
+    data = [(i, [float(v) for v in centers[i % 3] + draw.normal(0, 1, 2)], i // 3 % rounds) for i in range(n)]  # every round has points of every blob
     data += [(n + 1, [500.0, 500.0], 1), (n + 2, [500.5, 500.0], 1), (n + 3, [-900.0, 40.0], 2)]
     return spark.createDataFrame(data, "id long, features array<double>, round int")
 
