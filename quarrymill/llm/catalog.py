@@ -31,8 +31,8 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """All pairs of businesses with five common users or more, with counts and lift."""
-    pairs = cooccurrence(visits(spark, folder), "user_id", "business_id", min_both=5)
+    """All pairs of businesses with a common user, with counts and lift."""
+    pairs = cooccurrence(visits(spark, folder), "user_id", "business_id")
     return pairs.select(F.col("item_1").alias("business_id_1"), F.col("item_2").alias("business_id_2"), "n_both", "lift")
 
 

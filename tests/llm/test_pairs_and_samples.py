@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from quarrymill.llm import cooccurrence as co, heavy_hitters as hh, sampling as sa, set_join as sj
+from quarrymill.llm import catalog, cooccurrence as co, heavy_hitters as hh, sampling as sa, set_join as sj
 from tests.conftest import rows
 
 
@@ -53,6 +53,13 @@ def test_no_pairs_in_an_empty_table(spark):
     assert rows(co.cooccurrence(spark.createDataFrame([], "u string, i string"), "u", "i")) == []
 
 
+def test_every_pair_with_a_common_user_comes_out(spark, tmp_path):
+    data = [("u1", "a"), ("u1", "b"), (" u2", "b"), ("u2", "c\t"), ("u2", "b"), ("user_id", "business_id"), (None, "a"), ("u3", " ")]
+    spark.createDataFrame(data, "user_id string, business_id string").write.parquet(f"{tmp_path}/preprocess.parquet")
+    assert rows(catalog.p1_pairs(spark, str(tmp_path))) == [("a", "b", 1, 1.0), ("b", "c", 1, 1.0)]
+    assert rows(catalog.p1_found(spark, str(tmp_path))) == []
+
+
 PIECES = "piece int, id long, _row string, _piece string"
 
 
