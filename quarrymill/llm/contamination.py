@@ -1,4 +1,4 @@
-"""Held-out test items leaking into a corpus: rare n-gram seeds, then Smith-Waterman alignment."""
+"""Held-out test items leaking into a corpus: n-gram seeds, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
@@ -11,7 +11,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from quarrymill.plans.shipping import ship
-from quarrymill.plans.storage import materialize
 
 GRAM = 4
 #: A case of an exact leak: so many consecutive words of the item, or the whole of a shorter item.
@@ -31,13 +30,14 @@ def words(text: str | None) -> list[str]:
 
 
 class Items:
-    """Word codes of a block of items, and the positions of their n-grams."""
+    """Word codes of a block of items, their words with counts, and the positions of their n-grams."""
 
     def __init__(self, texts: list[tuple[int, str | None]]):
         code: dict[str, int] = {}
         self.words = {i: np.array([code.setdefault(w, len(code)) for w in words(t)], np.int32) for i, t in texts}
         self.words = {i: w for i, w in self.words.items() if len(w)}
         self.code = code
+        self.bags = {i: np.unique(w, return_counts=True) for i, w in self.words.items()}
         grams: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
         for i, w in self.words.items():
             n = min(GRAM, len(w))
@@ -82,40 +82,38 @@ class Items:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate(found), np.concatenate(places)
 
-    def seeds(self, in_docs: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
-        """For each window of RUN words its rarest n-gram among those that some document holds.
+    def may_reach(self, item: int, passage: np.ndarray, score: float) -> bool:
+        """Whether an alignment score is possible by the words that item and passage have in common, in any order.
 
-        A copy of the window holds all its n-grams, so no exact leak is lost; an edited copy holds some.
+        No alignment scores more than a match for each common word; nor more than the best stretch of one side,
+        if each of its words that the other side has is a match and each other word costs a mismatch or a gap.
         """
-        rarity: dict[int, list[int]] = {i: [0] * max(1, len(w) - GRAM + 1) for i, w in self.words.items()}
-        number = {i: r.copy() for i, r in rarity.items()}
-        for g, at in enumerate(self.at):
-            for i, k in at:
-                rarity[i][k], number[i][k] = in_docs.get(g, 0), g
-        chosen: set[tuple[int, int, int]] = set()
-        for i, r in rarity.items():
-            span = min(len(r), RUN - GRAM + 1)
-            for k in range(len(r) - span + 1):
-                held = [(r[x], x) for x in range(k, k + span) if r[x]]
-                if held:
-                    j = min(held)[1]
-                    chosen.add((number[i][j], i, j))
-        out: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for g, i, j in sorted(chosen):
-            out[g].append((i, j))
-        return out
+        own, times = self.bags[item]
+        at = np.minimum(np.searchsorted(own, passage), len(own) - 1)
+        same = own[at] == passage
+        held = np.bincount(at[same], minlength=len(own))
+        if MATCH * int(np.minimum(held, times).sum()) < score or _best_stretch(same) < score:
+            return False
+        return _best_stretch(held[np.searchsorted(own, self.words[item])] > 0) >= score
+
+
+def _best_stretch(matches: np.ndarray) -> int:
+    sums = np.concatenate(([0], np.cumsum(np.where(matches, MATCH, max(MISMATCH, GAP)))))
+    return int((sums - np.minimum.accumulate(sums)).max())
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", min_share: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Pairs of document and test item of which a passage leaked, exact or edited.
 
     1. One pass over the corpus finds the item n-grams of each document (4 words; an item of fewer words is
-       one n-gram) and keeps, of documents with any, the word codes and the places.
-    2. Of each window of 12 words of an item the n-gram in fewest documents is its seed.
-    3. Documents and items sharing a seed are aligned around it by Smith-Waterman (match 2, mismatch -1,
-       gap -1). `run` is the longest run of consecutive equal words on the seeds' diagonals.
+       one n-gram). Each of them is a seed, however many documents hold it, so whether a pair comes out does
+       not depend on other documents.
+    2. `run` is the longest run of consecutive equal words on the seeds' diagonals. A passage around seeds
+       goes on if its run suffices, or if the words it has in common with the item, in any order, allow the
+       least score; all others cannot reach it.
+    3. These passages are aligned with the item by Smith-Waterman (match 2, mismatch -1, gap -1).
     A pair is kept with run >= min(12, words of the item), or a score of at least min_share of the item's
-    best possible one. No exact run of 12 words is missed.
+    best possible one. No exact run of 12 words is missed, and no edited copy that keeps an n-gram.
 
     Items are taken in blocks of `block_words` words, each with a pass of its own, so the part of the items
     that travels to the tasks is bounded. Null, blank and word-less texts match nothing; null ids are left
@@ -157,52 +155,54 @@ def _block_leaks(docs: DataFrame, items: Items, min_share: float) -> DataFrame:
         own = shared.value
         code = own.code.get
         for pdf in batches:
-            rows = []
+            rows, cases = [], []
             for d, text in zip(pdf["doc_id"], pdf["text"]):
                 doc = np.array([code(w, -1) for w in words(text)], np.int32)
-                grams, at = own.hits(doc)
-                if len(grams):
-                    rows.append((d, doc, grams.astype(np.int32), at.astype(np.int32)))
-            yield pd.DataFrame(rows, columns=["doc_id", "doc", "grams", "at"])
+                for case in _cases(d, doc, own, min_share):
+                    cases.append(case)
+                    if len(cases) == ALIGN_AT_ONCE:
+                        rows += _aligned(cases, min_share)
+                        cases = []
+            rows += _aligned(cases, min_share)
+            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "run", "score", "item_words", "doc_from", "doc_to"])
 
-    hit = materialize(docs.mapInPandas(scan, "doc_id long, doc array<int>, grams array<int>, at array<int>"), "seeded-docs")
-    # one number for each n-gram of the block
-    in_docs = hit.select(F.explode(F.array_distinct("grams")).alias("g")).groupBy("g").count()
-    seeds = spark.sparkContext.broadcast(items.seeds({r["g"]: r["count"] for r in in_docs.toLocalIterator()}))
+    return docs.mapInPandas(scan, FOUND)
 
-    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            cases = [c for row in pdf.itertuples(index=False) for c in _cases(row, shared.value, seeds.value)]
-            rows = []
-            for k in range(0, len(cases), ALIGN_AT_ONCE):
-                part = cases[k : k + ALIGN_AT_ONCE]
-                scores = smith_waterman([c[3] for c in part], [c[4] for c in part])
-                for (d, i, run, item, _, lo, hi), score in zip(part, scores):
-                    if run >= min(RUN, len(item)) or score >= min_share * MATCH * len(item):
-                        rows.append((d, i, run, score, len(item), lo, hi))
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "run", "score", "item_words", "doc_from", "doc_to"])
 
-    return hit.mapInPandas(align, FOUND)
+def _aligned(cases: list[tuple], min_share: float) -> list[tuple]:
+    scores = smith_waterman([c[3] for c in cases], [c[4] for c in cases]) if cases else []
+    return [(d, i, run, score, len(item), lo, hi) for (d, i, run, item, _, lo, hi), score in zip(cases, scores) if run >= min(RUN, len(item)) or score >= min_share * MATCH * len(item)]
 
 
-def _cases(row, items: Items, seeds: dict[int, list[tuple[int, int]]]) -> Iterator[tuple]:
+def _cases(doc_id: int, doc: np.ndarray, items: Items, min_share: float) -> Iterator[tuple]:
     """Passages of a document to align: seeds of an item lie close to each other, with room for the item around."""
-    doc = np.asarray(row.doc, np.int32)
     places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for g, at in zip(row.grams, row.at):
-        for i, j in seeds.get(int(g), ()):
-            places[i].append((int(at), int(at) - j))
+    for g, at in zip(*(x.tolist() for x in items.hits(doc))):
+        for i, j in items.at[g]:
+            places[i].append((at, at - j))
+    if not places:
+        return
+    in_doc = np.bincount(doc[doc >= 0], minlength=len(items.code))
     for i, found in places.items():
-        item, found = items.words[i], sorted(found)
+        item, least = items.words[i], min_share * MATCH * len(items.words[i])
         m = len(item)
+        # a run of r words holds r - n + 1 seeds of n words on its diagonal
+        full = min(RUN, m)
+        seeds = full - min(GRAM, m) + 1
+        runs = len(found) >= seeds and {s for s, k in Counter(s for _, s in found).items() if k >= seeds}
+        own, times = items.bags[i]
+        if not runs and MATCH * int(np.minimum(in_doc[own], times).sum()) < least:
+            continue
+        found.sort()
         start = 0
         for k in range(1, len(found) + 1):
             if k == len(found) or found[k][0] - found[k - 1][0] > m or found[k][0] - found[start][0] > 4 * m:
                 group = found[start:k]
-                lo, hi = max(0, group[0][0] - m), min(len(doc), group[-1][0] + m)
-                run = max(longest_run(item, doc, shift) for shift in {s for _, s in group})
-                yield row.doc_id, i, run, item, doc[lo:hi], lo, hi
                 start = k
+                lo, hi = max(0, group[0][0] - m), min(len(doc), group[-1][0] + m)
+                shifts = {s for _, s in group}
+                if (runs and any(longest_run(item, doc, s) >= full for s in shifts & runs)) or items.may_reach(i, doc[lo:hi], least):
+                    yield doc_id, i, max(longest_run(item, doc, s) for s in shifts), item, doc[lo:hi], lo, hi
 
 
 def longest_run(item: np.ndarray, doc: np.ndarray, shift: int) -> int:

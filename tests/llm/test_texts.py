@@ -127,6 +127,15 @@ def test_edited_copy_is_scored(spark):
     assert rows(ct.leaked_items(docs, spark.createDataFrame([], "item_id long, text string"))) == []
 
 
+def test_an_exact_copy_elsewhere_does_not_hide_an_edited_one(spark):
+    item = [f"a{k}" for k in range(60)]
+    edited = ["changed" if k % 6 == 5 else w for k, w in enumerate(item)]
+    data = [(1, "before " * 30 + " ".join(item)), (2, "before " * 30 + " ".join(edited) + " after" * 30), (3, " ".join(item[:8]) + " after" * 30)]
+    items = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = ct.leaked_items(spark.createDataFrame(data, "doc_id long, text string"), items).collect()
+    assert sorted((r["doc_id"], r["run"], r["score"]) for r in got) == [(1, 60, 120), (2, 5, align(item, edited))]
+
+
 PLACES, THINGS, LOOKS = ["Ashby", "Norcot", "Velby", "Tamsin"], ["soup", "bread", "chair", "lamp", "tea", "cake", "door"], ["warm", "odd", "plain", "bright", "small"]
 
 
