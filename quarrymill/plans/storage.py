@@ -33,10 +33,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Remove the files of a materialized table that no later step reads."""
+    """Remove the files of a materialized table that no later step reads, and of the tables that a result rests on."""
     path = vars(df).get("written_to")
     if path in _written:
         _delete(_written.pop(path), path)
+    for table in vars(df).get("rests_on", ()):
+        discard(table)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
