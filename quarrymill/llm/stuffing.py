@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from quarrymill.plans.shipping import ship
 from quarrymill.plans.storage import materialize
@@ -16,7 +16,7 @@ from quarrymill.plans.storage import materialize
 #: Marks of a word, in the low bits of its code.
 LINK, END, LIST = 1, 2, 4
 MARKS = 3
-#: Words kept apart in the table of neighbours; all others share the class 0.
+#: Words counted in the table of neighbours; pairs with any other word, and these words, are counted by key.
 VOCABULARY = 4096
 #: Words on either side over which the features of a word are averaged.
 AROUND = 10
@@ -29,6 +29,8 @@ WORDS_AT_ONCE = 200_000
 #: Cells of the table of neighbours that travel together.
 BLOCK = 1 << 18
 FEATURES = 10
+#: A pair's key: this bit, and the hashes of its words.
+WORD_BITS, PAIR = 28, 1 << 56
 _ODD = 0x9E3779B97F4A7C15
 _ENDS = tuple(".!?…")
 _TRIM = "\"'`“”‘’«»<>()[]{}*_~|,;:.!?…-–—/\\#=&"
@@ -71,7 +73,7 @@ class Encoder:
 
 
 class Corpus:
-    """The words counted apart, and what the whole corpus says of them and their neighbours."""
+    """The words of the table of neighbours, and what the whole corpus says of them and their neighbours."""
 
     def __init__(self, codes: np.ndarray):
         self.codes = np.sort(codes)
@@ -85,22 +87,32 @@ class Corpus:
     def size(self) -> int:
         return len(self.codes) + 1
 
-    def finish(self, pairs: np.ndarray) -> None:
-        """Keep log2 of the smoothed probabilities of pairs and words, as halves."""
-        n = max(1, int(pairs.sum()))
+    def finish(self, pairs: np.ndarray, words: int | None = None) -> None:
+        """Keep log2 of the smoothed probabilities of pairs and words, as halves; `words` are distinct in the corpus."""
+        n = self.pairs = max(1, int(pairs.sum()))
         first = pairs.sum(axis=1, dtype=np.float64) + 1
-        self.log_word = np.log2(first / (n + len(first))).astype(np.float32)
+        self.words = n + (words or len(first))
+        self.log_word = np.log2(first / self.words).astype(np.float32)
         self.log_pair = np.empty(pairs.shape, np.float16)
         for i in range(len(pairs)):
             self.log_pair[i] = np.log2((pairs[i] + 0.25) / n)
 
+    def outside(self, codes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Words that are not in the table and pairs that hold one: their places, then their keys."""
+        c, h = self.classes(codes), codes.astype(np.int64) >> MARKS
+        inner = np.flatnonzero(doc[:-1] == doc[1:])
+        word, pair = np.flatnonzero(c == 0), inner[(c[inner] == 0) | (c[inner + 1] == 0)]
+        return word, pair, h[word], PAIR | h[pair] << WORD_BITS | h[pair + 1]
 
-def word_features(codes: np.ndarray, lengths: np.ndarray, corpus: Corpus) -> np.ndarray:
+
+def word_features(codes: np.ndarray, lengths: np.ndarray, corpus: Corpus, outside: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Features of each word of several documents laid end to end: means over the words around it.
 
     0 mutual information with the next word, 1 share of it below 0, 2 how much oftener the pair stands in this
     document than its corpus rate explains (log2), 3 share of pairs at least twice as often, 4 as 2 for single
     words, 5 links, 6 ends of sentences, 7 list marks, 8 log2 of the word's corpus rate, 9 rare words.
+
+    `outside` has the sorted keys of these documents' words and pairs outside the table and their corpus counts.
     """
     n = len(codes)
     doc = np.repeat(np.arange(len(lengths)), lengths)
@@ -110,6 +122,11 @@ def word_features(codes: np.ndarray, lengths: np.ndarray, corpus: Corpus) -> np.
     x = np.zeros((n, FEATURES), np.float32, order="F")
     inner = np.flatnonzero(doc[:-1] == doc[1:]) if n else np.zeros(0, np.int64)
     pair = corpus.log_pair[c[inner], c[inner + 1]].astype(np.float32)
+    if outside is not None:
+        keys, counts = outside
+        word_at, pair_at, word_key, pair_key = corpus.outside(codes, doc)
+        one[word_at] = np.log2((counts[np.searchsorted(keys, word_key)] + 1) / corpus.words)
+        pair[np.searchsorted(inner, pair_at)] = np.log2((counts[np.searchsorted(keys, pair_key)] + 0.25) / corpus.pairs)
     pmi = np.clip(pair - one[inner] - one[inner + 1], -4, 10)
     excess = _excess(doc[inner], h[inner] * np.uint64(_ODD) + h[inner + 1], size[inner] * np.exp2(pair))
     for k, v in enumerate((pmi, pmi < 0, excess, excess > 1)):
@@ -208,8 +225,11 @@ def stuffed_pages(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     """Of each document, how many of its white-space-separated words stand in keyword repetition, word salad or lists.
 
     1. One pass over the texts writes their words as codes (hash and marks).
-    2. The `vocabulary` most used words are counted apart, all others as one class; every task counts the
-       neighbouring pairs of its documents in a table of that fixed size, and the tables are summed.
+    2. Every word and every pair of neighbouring words is counted over the whole corpus. Pairs of the
+       `vocabulary` most used words: every task counts those of its documents in a table of that fixed size,
+       and the tables are summed. All other words and pairs, each of them seldom: rows of (key, document),
+       summed by key and brought back to the documents that hold them. So `vocabulary` decides where a pair
+       is counted, not its count.
     3. Each word gets the mean pointwise mutual information of the pairs around it, the excess of repeated
        pairs over their corpus rate, and further means (word_features); from weights fitted on labelled
        documents it is judged stuffed or not. Word salad and lists lack the coherence of sentences, repeated
@@ -226,18 +246,23 @@ def stuffed_pages(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     ship(spark)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
     coded = materialize(rows.mapInArrow(_encode, "doc_id long, codes array<int>"), "word-codes")
-    words = coded.select(F.explode("codes").alias("c")).groupBy(F.shiftright("c", MARKS).alias("h")).count()
+    words = materialize(coded.select(F.explode("codes").alias("c")).groupBy(F.shiftright("c", MARKS).alias("h")).count(), "words")
     top = words.orderBy(F.desc("count"), "h").limit(vocabulary).collect()  # `vocabulary` rows
     corpus = Corpus(np.array([r["h"] for r in top], np.int64))
-    corpus.finish(_pair_table(coded, corpus))
+    corpus.finish(_pair_table(coded, corpus), words.count())
     shared = spark.sparkContext.broadcast(corpus)  # of a fixed size, given by `vocabulary`
+    held = coded.mapInArrow(_outside(shared), "doc_id long, key long, n long")
+    held = held.select("doc_id", F.struct("key", F.sum("n").over(Window.partitionBy("key")).alias("count")).alias("k"))
+    outside = materialize(held.groupBy("doc_id").agg(F.collect_list("k").alias("k")).select("doc_id", F.col("k.key").alias("keys"), F.col("k.count").alias("counts")), "outside-counts")
+    empty = F.array().cast("array<bigint>")
+    counted = lambda df: df.join(outside, "doc_id", "left").withColumns({k: F.coalesce(k, empty) for k in ("keys", "counts")})
     chosen = labels.select(F.col(doc_id).alias("doc_id"), (F.col(label) == stuffed).alias("s")).dropna().groupBy("doc_id").agg(F.avg(F.col("s").cast("int")).alias("s"))
     chosen = coded.join(chosen, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
-    samples = chosen.mapInPandas(_samples(shared), "s double, x binary").collect()  # at most `labelled` rows of fixed size
+    samples = counted(chosen).orderBy(F.xxhash64("doc_id"), "doc_id").mapInPandas(_samples(shared), "s double, x binary").collect()  # at most `labelled` rows of fixed size
     kinds = [r["s"] > 0.5 for r in samples]
     features = [np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES) for r in samples]
     judge = spark.sparkContext.broadcast(Weights(features, kinds) if len(set(kinds)) == 2 else Rule())
-    scored = coded.mapInPandas(_scores(shared, judge), "doc_id long, words long, stuffed_words long, mean_pmi double")
+    scored = counted(coded).mapInPandas(_scores(shared, judge), "doc_id long, words long, stuffed_words long, mean_pmi double")
     best = F.max(F.struct("words", "stuffed_words", "mean_pmi")).alias("b")
     return scored.groupBy("doc_id").agg(best).select("doc_id", "b.*")
 
@@ -266,6 +291,37 @@ def _parts(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
         yield start, len(lengths)
 
 
+def _outside(corpus):
+    """(doc_id, key, n) for each word outside the table and each pair with one; a word counts where another follows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, lists = np.asarray(b.column(0)), b.column(1)
+            codes, lengths = np.asarray(lists.flatten()), np.asarray(lists.value_lengths())
+            ends = np.cumsum(lengths)
+            for start, end in _parts(lengths):
+                own = codes[ends[start] - lengths[start] : ends[end - 1]]
+                doc = np.repeat(np.arange(start, end), lengths[start:end])
+                word, pair, word_key, pair_key = corpus.value.outside(own, doc)
+                if not len(word):
+                    continue
+                followed = np.append(doc[:-1] == doc[1:], False)[word]
+                at = np.concatenate([doc[word], doc[pair]])
+                key = np.concatenate([word_key, pair_key])
+                n = np.concatenate([followed.astype(np.int64), np.ones(len(pair), np.int64)])
+                order = np.lexsort((key, at))
+                at, key, n = at[order], key[order], n[order]
+                first = np.flatnonzero(np.append(True, (np.diff(at) != 0) | (np.diff(key) != 0)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at[first]]), pa.array(key[first]), pa.array(np.add.reduceat(n, first))], ["doc_id", "key", "n"])
+
+    return run
+
+
+def _lookup(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    own, at = np.unique(np.concatenate(keys).astype(np.int64), return_index=True)
+    return own, np.concatenate(counts).astype(np.int64)[at]
+
+
 def _pair_table(coded: DataFrame, corpus: Corpus) -> np.ndarray:
     size = corpus.size
 
@@ -309,8 +365,8 @@ def _samples(corpus):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for codes in pdf["codes"]:
-                x = word_features(codes, np.array([len(codes)]), corpus.value)
+            for codes, keys, counts in zip(pdf["codes"], pdf["keys"], pdf["counts"]):
+                x = word_features(codes, np.array([len(codes)]), corpus.value, _lookup([keys], [counts]))
                 at = np.linspace(0, len(x) - 1, min(len(x), PER_DOCUMENT)).astype(int)
                 out.append(np.ascontiguousarray(x[at]).tobytes())
             yield pd.DataFrame({"s": pdf["s"], "x": out})
@@ -324,7 +380,8 @@ def _scores(corpus, judge):
             lengths = pdf["codes"].map(len).to_numpy(np.int64)
             for start, end in _parts(lengths):
                 own = lengths[start:end]
-                x = word_features(np.concatenate(pdf["codes"].iloc[start:end].tolist()), own, corpus.value)
+                part = {k: pdf[k].iloc[start:end].tolist() for k in ("codes", "keys", "counts")}
+                x = word_features(np.concatenate(part["codes"]), own, corpus.value, _lookup(part["keys"], part["counts"]))
                 doc = np.repeat(np.arange(len(own)), own)
                 hit = np.bincount(doc, judge.value.stuffed_words(x), minlength=len(own)).astype(np.int64)
                 pmi = np.bincount(doc, x[:, 0], minlength=len(own)) / own

@@ -188,3 +188,14 @@ def test_features_do_not_depend_on_the_neighbouring_document():
     both = sf.word_features(np.concatenate([a, b]), np.array([len(a), len(b)]), corpus_)
     apart = np.vstack([sf.word_features(x, np.array([len(x)]), corpus_) for x in (a, b)])
     assert np.allclose(both, apart, atol=1e-5)
+
+
+def test_words_beyond_the_table_have_counts_of_their_own(spark):
+    draw = random.Random(4)
+    data = [(k, prose(draw, 12) + f" seldom{k % 9} said.") for k in range(60)] + [(100, "zirconium " * 100 + prose(draw, 3)), (101, "tungsten ")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, label string")
+    small, large = ({r["doc_id"]: r for r in sf.stuffed_pages(docs, none, vocabulary=v).collect()} for v in (5, 4096))
+    assert small.keys() == large.keys()
+    assert all(abs(small[k]["mean_pmi"] - large[k]["mean_pmi"]) < 0.02 for k in large)
+    assert abs(small[100]["stuffed_words"] - large[100]["stuffed_words"]) <= 2
