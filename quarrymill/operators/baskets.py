@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quarrymill.operators.common import common_pairs
+
 
 def filter_join(dimension: DataFrame, facts: DataFrame, key: str, keep: Column) -> DataFrame:
     """Rows of `facts` whose key has a dimension row passing `keep`, once for each such row.
@@ -29,13 +31,11 @@ def market_baskets(rows: DataFrame, user: str, business: str, case: int, larger_
     return baskets(rows, *((user, business) if case == 1 else (business, user)), larger_than)
 
 
-def shared_counts(rows: DataFrame, node: str, via: str) -> DataFrame:
-    """(src, dst, n): how many distinct `via` values two nodes share, for src < dst and n > 0."""
-    held = rows.select(F.col(via).alias("via"), F.col(node).alias("node")).dropna().distinct()
-    a, b = held.withColumnRenamed("node", "src"), held.withColumnRenamed("node", "dst")
-    return a.join(b, "via").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
+def shared_counts(rows: DataFrame, node: str, via: str, min_common: int = 1) -> DataFrame:
+    """(src, dst, n): how many distinct `via` values two nodes share, for src < dst and n >= min_common."""
+    return common_pairs(rows, node, via, min_common).toDF("src", "dst", "n")
 
 
 def cooccurrence_edges(rows: DataFrame, node: str, via: str, min_common: int) -> DataFrame:
     """Undirected edges (src < dst) between nodes sharing at least `min_common` distinct values; no loops."""
-    return shared_counts(rows, node, via).where(F.col("n") >= min_common).select("src", "dst")
+    return shared_counts(rows, node, via, min_common).select("src", "dst")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
+from quarrymill.plans.skew import attach, block_join
 from quarrymill.plans.storage import materialize
 
 
@@ -14,27 +17,30 @@ def _names(k: int) -> list[str]:
 def frequent_itemsets(held: DataFrame, support: int, max_k: int | None = None) -> list[DataFrame]:
     """Level k of the result has (i1 < ... < ik, support) of the itemsets in at least `support` baskets.
 
-    held has (basket, item), each once. A level joins the surviving occurrences (basket, i1..ik) with the
-    frequent items of the same basket that come after ik, counts with map-side combining, and keeps the
-    frequent ones; so no itemset with an infrequent prefix is ever generated, and nothing passes the driver
-    but the question whether a level is empty. Without max_k the levels end with the first empty one.
+    held has (basket, item), each once. A level joins the surviving occurrences (basket, i1..ik) of the same
+    basket that differ in their last item only, in blocks where a basket is long, counts with map-side
+    combining, and keeps the frequent ones; so no itemset with an infrequent prefix of either kind is ever
+    generated, and nothing passes the driver but the question whether a level is empty. Without max_k the
+    levels end with the first empty one; with it there are max_k levels, empty ones included.
     """
     singles = held.groupBy("item").agg(F.count("*").alias("support")).where(F.col("support") >= support)
     singles = materialize(singles.select(F.col("item").alias("i1"), "support"), "itemsets-1")
-    items = materialize(held.join(singles.select(F.col("i1").alias("item")), "item", "left_semi"), "frequent-items")
-    levels, seen, k = [singles], items.select("basket", F.col("item").alias("i1")), 1
+    seen = attach(held.withColumnRenamed("item", "i1"), singles.select("i1"), ["i1"], "left_semi", ["basket"])
+    levels, k, empty = [singles], 1, False
     while max_k is None or k < max_k:
-        longer = seen.join(items, "basket").where(F.col("item") > F.col(f"i{k}")).withColumnRenamed("item", f"i{k + 1}")
-        k += 1
-        level = longer.groupBy(*_names(k)).agg(F.count("*").alias("support")).where(F.col("support") >= support)
-        level = materialize(level, f"itemsets-{k}")
-        if level.isEmpty():
-            if max_k is not None:
-                levels += [level] * (max_k - k + 1)
+        if not empty:
+            seen = materialize(seen, f"occurrences-{k}")
+            longer = block_join(seen, seen.withColumnRenamed(f"i{k}", f"i{k + 1}"), ["basket", *_names(k - 1)], f"i{k}", f"i{k + 1}").where(F.col(f"i{k}") < F.col(f"i{k + 1}"))
+            level = longer.groupBy(*_names(k + 1)).agg(F.count("*").alias("support")).where(F.col("support") >= support)
+            level = materialize(level, f"itemsets-{k + 1}")
+            empty = level.isEmpty()
+            seen = attach(longer, level.select(*_names(k + 1)), _names(k + 1), "left_semi", ["basket"])
+        else:
+            level = held.select(*[F.col("item").alias(c) for c in _names(k + 1)], F.lit(0).cast("long").alias("support")).limit(0)
+        if empty and max_k is None:
             break
+        k += 1
         levels.append(level)
-        if max_k is None or k < max_k:
-            seen = materialize(longer.join(level.select(*_names(k)), _names(k), "left_semi"), f"occurrences-{k}")
     return levels
 
 
@@ -61,3 +67,9 @@ def itemset_report(levels: list[DataFrame]) -> DataFrame:
         one = one.where(F.size("a") > 0).select(F.lit(k).alias("size"), F.array_join(F.transform("a", lambda s: s["t"]), ",").alias("line"))
         lines = one if lines is None else lines.unionByName(one)
     return lines
+
+
+def itemset_lines(levels: list[DataFrame]) -> DataFrame:
+    """(size, items, support): every itemset as one row, for results that one line of the report cannot hold."""
+    lines = [level.select(F.lit(k).alias("size"), F.array(*_names(k)).alias("items"), "support") for k, level in enumerate(levels, 1)]
+    return reduce(DataFrame.unionByName, lines)

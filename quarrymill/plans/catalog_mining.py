@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quarrymill.functions.text import clean_id, letters_only_words
 from quarrymill.operators import lsh, ratings as cf, text_profiles as tp
 from quarrymill.operators.baskets import baskets, filter_join, market_baskets
-from quarrymill.operators.itemsets import candidates, frequent_itemsets, itemset_report
+from quarrymill.operators.itemsets import candidates, frequent_itemsets, itemset_lines, itemset_report
 from quarrymill.plans.storage import materialize
 from quarrymill.sources.tables import counted_reviews, table, visits
 
@@ -73,35 +73,44 @@ def itemset_report_lines(spark: SparkSession, folder: str) -> DataFrame:
     return itemset_report(_itemsets(spark, folder, 3, 0.003))
 
 
-def part_buyers(spark: SparkSession, folder: str) -> DataFrame:
-    """(part, customer): who bought what."""
-    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("customer"))
-    bought = table(spark, folder, "lineitem").select("l_orderkey", F.col("l_partkey").alias("part")).join(orders, "l_orderkey")
-    return materialize(bought.select("part", "customer").distinct(), "part-buyers")
+def itemsets_visits(spark: SparkSession, folder: str) -> DataFrame:
+    """Sets of up to three businesses that 1 % of all users visited, where one business holds a tenth of the visits."""
+    held = materialize(market_baskets(visits(spark, folder), "user_id", "business_id", 1), "visit-baskets")
+    support = math.ceil(0.01 * held.select("basket").distinct().count())
+    found = itemset_lines(frequent_itemsets(held, support, 3))
+    return found.select("size", F.array_join("items", ",").alias("items"), "support")
+
+
+def visitors(spark: SparkSession, folder: str) -> DataFrame:
+    """(business, user): who reviewed what; one business holds a tenth of the rows."""
+    seen = counted_reviews(table(spark, folder, "review"), "user_id", "business_id")
+    return seen.select(F.col("business_id").alias("business"), F.col("user_id").alias("user"))
 
 
 def minhash_signatures(spark: SparkSession, folder: str) -> DataFrame:
-    """35 hash minima of each part's set of customers."""
-    signatures = lsh.minhash(part_buyers(spark, folder), "part", "customer", 35)
+    """35 hash minima of each business's set of users."""
+    signatures = lsh.minhash(visitors(spark, folder), "business", "user", 35)
     return signatures.select("id", F.posexplode("signature").alias("pos", "least")).select("id", (F.col("pos") + 1).alias("hash_no"), "least")
 
 
 def lsh_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    """For each part, with how many later ones it shares a band of 5 hashes of 35."""
-    signatures = lsh.minhash(part_buyers(spark, folder), "part", "customer", 35)
-    return lsh.lsh_candidates(signatures, 35, 7).groupBy("id1").agg(F.count("*").alias("n"))
+    """Pairs of businesses in a common bucket of 35 bands of one hash."""
+    return lsh.lsh_candidates(lsh.minhash(visitors(spark, folder), "business", "user", 35), 35, 35)
 
 
 def similar_items(spark: SparkSession, folder: str) -> DataFrame:
-    """Parts with Jaccard similarity of customers >= 0.05 among the candidates of 35 bands of one hash."""
-    return lsh.similar_pairs(part_buyers(spark, folder), "part", "customer", 35, 35, 0.05).select("id1", "id2", "sim")
+    """Businesses with Jaccard similarity of users >= 0.05 among the candidates of 35 bands of one hash."""
+    return lsh.similar_pairs(visitors(spark, folder), "business", "user", 35, 35, 0.05).select("id1", "id2", "sim")
 
 
 def _counts(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
+    return tp.counted_terms(review_texts(spark, folder), "business_id", "words", table(spark, folder, "stopword"))
+
+
+def review_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """(business_id, words) of the counted reviews with a business and a text."""
     texts = counted_reviews(table(spark, folder, "review"), "business_id", "text").where("business_id is not null and text is not null")
-    with_text = counted_reviews(table(spark, folder, "review").withColumn("has_text", F.expr("text is not null")), "business_id", "has_text")
-    counts = tp.term_counts(texts.select("business_id", letters_only_words("text").alias("words")), "business_id", "words", table(spark, folder, "stopword"))
-    return materialize(counts, "term-counts"), with_text.where("business_id is not null and has_text").count()
+    return texts.select("business_id", letters_only_words("text").alias("words"))
 
 
 def tf_words(spark: SparkSession, folder: str) -> DataFrame:
@@ -138,13 +147,13 @@ def content_predict(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _rated(spark: SparkSession, folder: str) -> DataFrame:
-    """Customers rate parts by a fifth of the quantity: 1 to 5 stars."""
-    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", F.ceil(F.col("l_quantity") / 10).alias("stars"))
-    return materialize(cf.ratings(lines.join(orders, "l_orderkey"), "o_custkey", "l_partkey", "stars"), "ratings")
+    """Users rate businesses by the whole stars of their counted reviews."""
+    once = counted_reviews(table(spark, folder, "review"), "user_id", "business_id", "stars")
+    return materialize(cf.ratings(once, "user_id", "business_id", "stars"), "ratings")
 
 
-_HELD_OUT = "(user * 31 + item) % 10 = 0"
+#: An eighth of all pairs, the same ones in any engine.
+_HELD_OUT = "substr(md5(concat(user, ':', item)), 1, 1) in ('0', '1')"
 
 
 def item_similarity(spark: SparkSession, folder: str) -> DataFrame:
@@ -156,7 +165,7 @@ def user_similarity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def predict_item(spark: SparkSession, folder: str) -> DataFrame:
-    """Stars of the held-out tenth of all pairs from the other ratings."""
+    """Stars of the held-out eighth of all pairs from the other ratings."""
     rated = _rated(spark, folder)
     train = rated.where(f"not ({_HELD_OUT})")
     return cf.predict_item(rated.where(_HELD_OUT), train, cf.item_similarity(train)).withColumn("stars", tp.rounded(F.col("stars")))
@@ -168,7 +177,7 @@ def predict_user(spark: SparkSession, folder: str) -> DataFrame:
     return cf.predict_user(rated.where(_HELD_OUT), train, cf.user_similarity(train)).withColumn("stars", tp.rounded(F.col("stars")))
 
 
-QUERIES = {f.__name__: f for f in (prep_filter_join, baskets_sized, baskets_by_business, itemsets_1, itemsets_2, itemsets_3, itemsets_4, itemset_candidates, itemset_report_lines, minhash_signatures, lsh_candidates, similar_items, tf_words, idf_words, business_profile, user_profile, content_predict, item_similarity, user_similarity, predict_item, predict_user)}
+QUERIES = {f.__name__: f for f in (prep_filter_join, baskets_sized, baskets_by_business, itemsets_1, itemsets_2, itemsets_3, itemsets_4, itemset_candidates, itemset_report_lines, itemsets_visits, minhash_signatures, lsh_candidates, similar_items, tf_words, idf_words, business_profile, user_profile, content_predict, item_similarity, user_similarity, predict_item, predict_user)}
 
 _W = r"E' \t\r\n'"
 _VISITS = f"""with v as (
@@ -191,16 +200,20 @@ def _levels(k: int, share: str) -> str:
     return f"select {cols}, count(*) support from {joins} group by {groups} having count(*) >= (select ceil({share} * n) from t)"
 
 
-_BUYERS = """with h as (select distinct l_partkey id, o_custkey c from lineitem join orders on l_orderkey = o_orderkey where l_partkey is not null and o_custkey is not null),
+_ONCE = f"""with once as (
+  select review_id, nullif(trim(user_id, {_W}), '') u, nullif(trim(business_id, {_W}), '') b, stars, text from review where review_id is not null
+  qualify row_number() over (partition by review_id order by ingested_at desc nulls last) = 1)
+"""
+_VISITORS = _ONCE + """, h as (select distinct b id, u c from once where b is not null and u is not null),
 r as (select c, row_number() over (order by c) - 1 x from (select distinct c from h)),
 n as (select count(*) n from r),
 g as (select id, (3 * x + 2) % n + (5 * x + 3) % n g, n from h join r using (c), n),
 s as (select id, i hash_no, min((i * g + i * i) % 33569 % n) least from g, range(1, 36) f(i) group by 1, 2)
 """
-_RATED = """with rated as (select o_custkey u, l_partkey i, max(ceil(l_quantity / 10)::int) stars from lineitem join orders on l_orderkey = o_orderkey
-  where o_custkey is not null and l_partkey is not null and l_quantity is not null group by 1, 2)
+_RATED = _ONCE + """, rated as (select u, b i, max(trunc(stars)::int) stars from once where u is not null and b is not null and stars is not null group by 1, 2)
 """
-_TRAIN = _RATED + """, test as (select u, i from rated where (u * 31 + i) % 10 = 0), train as (select * from rated where (u * 31 + i) % 10 <> 0)
+_TRAIN = _RATED + """, test as (select u, i from rated where substr(md5(u || ':' || i), 1, 1) in ('0', '1')),
+train as (select * from rated where substr(md5(u || ':' || i), 1, 1) not in ('0', '1'))
 """
 
 
@@ -224,10 +237,7 @@ bm as (select m.id1, m.id2, m.sim from user_model m join un a on m.id1 = a.u joi
 """
 
 
-_TEXT = f"""with once as (
-  select review_id, nullif(trim(user_id, {_W}), '') u, nullif(trim(business_id, {_W}), '') b, text from review where review_id is not null
-  qualify row_number() over (partition by review_id order by ingested_at desc nulls last) = 1),
-docs as (select b, text from once where b is not null and text is not null),
+_TEXT = _ONCE + f""", docs as (select b, text from once where b is not null and text is not null),
 m as (select count(*) m from docs),
 raw as (select b, unnest(string_split(lower(regexp_replace(text, '[^a-zA-Z]', ' ', 'g')), ' ')) word from docs),
 c as (select b, word, count(*) f from raw where word <> '' and word not in (select word from stopword) group by 1, 2),
@@ -254,11 +264,15 @@ join business b on nullif(trim(r.business_id, {_W}), '') = nullif(trim(b.busines
 select 1 size, string_agg('(''' || i1 || ''')', ',' order by i1) line from s1
 union all select 2, string_agg('(''' || i1 || ''', ''' || i2 || ''')', ',' order by i1, i2) from s2
 union all select 3, string_agg('(''' || i1 || ''', ''' || i2 || ''', ''' || i3 || ''')', ',' order by i1, i2, i3) from s3""",
-    "minhash_signatures": _BUYERS + "select id, hash_no, least from s",
-    "lsh_candidates": _BUYERS
-    + """, k as (select id, (hash_no - 1) // 5 band, string_agg(least, ',' order by hash_no) key from s group by 1, 2)
-select id1, count(*) n from (select distinct a.id id1, b.id id2 from k a join k b on a.band = b.band and a.key = b.key and a.id < b.id) group by 1""",
-    "similar_items": _BUYERS
+    "itemsets_visits": _VISITS
+    + """, k as (select ceil(0.01 * count(distinct u)) k from v), f as (select b, count(*) n from v group by 1 having count(*) >= (select k from k)),
+w as (select u, b from v where b in (select b from f)),
+t2 as (select x.b b1, y.b b2, count(*) n from w x join w y on x.u = y.u and x.b < y.b group by 1, 2 having count(*) >= (select k from k)),
+t3 as (select x.b b1, y.b b2, z.b b3, count(*) n from w x join w y on x.u = y.u and x.b < y.b join w z on z.u = x.u and z.b > y.b group by 1, 2, 3 having count(*) >= (select k from k))
+select 1 size, b items, n support from f union all select 2, b1 || ',' || b2, n from t2 union all select 3, b1 || ',' || b2 || ',' || b3, n from t3""",
+    "minhash_signatures": _VISITORS + "select id, hash_no, least from s",
+    "lsh_candidates": _VISITORS + "select distinct a.id id1, b.id id2 from s a join s b on a.hash_no = b.hash_no and a.least = b.least and a.id < b.id",
+    "similar_items": _VISITORS
     + """, z as (select id, count(*) c, (select list(least order by hash_no) from s where s.id = h.id) sig from h group by id),
 p as (select a.id id1, b.id id2, count(*) c from h a join h b on a.c = b.c and a.id < b.id group by 1, 2)
 select id1, id2, p.c / (a.c + b.c - p.c) sim from p join z a on id1 = a.id join z b on id2 = b.id

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,11 +11,16 @@ _written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named in spark.checkpoint.dir, else the checkpoint folder of the SparkContext.
+
+    Where neither is set, a local master writes beside its warehouse, as the one machine is all there is;
+    a cluster has no folder that it surely shares, so there an error says what to set.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = os.path.join(tempfile.gettempdir(), "quarrymill-shared")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("no shared folder: set spark.checkpoint.dir, or call SparkContext.setCheckpointDir")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     return folder.rstrip("/")
 
 
@@ -41,10 +44,21 @@ def discard(df: DataFrame) -> None:
         discard(table)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it does not exist."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        remove(spark, path)
     except Exception:  # the session may be gone already
         pass
 
