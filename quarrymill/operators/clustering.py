@@ -6,6 +6,7 @@ set of clusters whose number is a parameter; sums over points are combined by Sp
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,9 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quarrymill.plans.shipping import ship
-from quarrymill.plans.storage import materialize
+from quarrymill.plans.skew import attach
+from quarrymill.plans.storage import discard, materialize
 
-#: Fixed value: added to a variance, so that a cluster without spread takes only equal points.
+#: Added to a variance, so that a cluster without spread takes only equal points.
 FLOOR = 6.95e-300
 #: Retained points up to so many are clustered on the driver, more of them by Spark.
 DRIVER_POINTS = 10_000
@@ -74,16 +76,19 @@ def euclidean(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return np.stack([((x - c) ** 2).sum(axis=1) for c in centers], axis=1)
 
 
+def seeded_order(ids: np.ndarray, seed: int) -> np.ndarray:
+    """The order in which points are taken as first centers: by md5 of seed and id, as Spark and SQL have it too."""
+    return np.array(sorted(range(len(ids)), key=lambda k: (hashlib.md5(f"{seed}:{ids[k]}".encode()).hexdigest(), ids[k])), np.int64)
+
+
 def lloyd(x: np.ndarray, order: np.ndarray, k: int, max_iter: int = 100, tol: float = 1e-9) -> np.ndarray:
-    """Labels of a k-means in memory; the first k points by `order` begin, an emptied cluster takes the farthest point."""
+    """Labels of a k-means in memory; the first k points by `order` begin, emptied clusters take the farthest points."""
     k = min(k, len(x))
     centers = x[order[:k]]
     for _ in range(max_iter):
         d = euclidean(x, centers)
-        label, far = d.argmin(axis=1), d.min(axis=1)
-        new = centers.copy()
-        for j in range(k):
-            new[j] = x[label == j].mean(axis=0) if (label == j).any() else x[far.argmax()]
+        label, far = d.argmin(axis=1), iter(np.argsort(-d.min(axis=1), kind="stable"))
+        new = np.stack([x[label == j].mean(axis=0) if (label == j).any() else x[next(far)] for j in range(k)])
         moved = np.abs(new - centers).max()
         centers = new
         if moved <= tol:
@@ -91,6 +96,18 @@ def lloyd(x: np.ndarray, order: np.ndarray, k: int, max_iter: int = 100, tol: fl
     return euclidean(x, centers).argmin(axis=1)
 
 
+def steadier_lloyd(x: np.ndarray, ids: np.ndarray, k: int, seed: int, starts: int = 8) -> np.ndarray:
+    """The labels of least squared distance to the means from several seeds, the first of equal ones."""
+    best = None
+    for s in range(seed, seed + starts):
+        label = lloyd(x, seeded_order(ids, s), k)
+        means = np.stack([x[label == j].mean(axis=0) for j in np.unique(label)])
+        cost = euclidean(x, means).min(axis=1).sum()
+        if best is None or cost < best[0] * (1 - 1e-12):
+            best = cost, label
+    return best[1]
+
+
 def summarize(points: DataFrame, by: str) -> DataFrame:
     """(by, pos, n, total, squares): the summary of each group, one row for each dimension, by partial sums."""
     one = points.select(by, F.posexplode("features").alias("pos", "x"))
@@ -136,14 +153,14 @@ def nearest(points: DataFrame, clusters: Summaries, metric: str) -> DataFrame:
 def kmeans(points: DataFrame, k: int, seed: int = 0, max_iter: int = 100, tol: float = 1e-9) -> DataFrame:
     """(id, cluster): Lloyd's iterations, each one scan of the points and sums of k * dim numbers.
 
-    Begins with the k points of least seeded hash; an emptied cluster takes the point farthest from its own.
+    Begins with the k points of least md5 of seed and id; emptied clusters take the points farthest from their own.
     """
     points = materialize(points.select("id", "features"), "kmeans-points")
-    first = points.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(k).collect()
+    first = points.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), "id").limit(k).collect()
     centers = np.array([r["features"] for r in first], np.float64)
     for _ in range(max_iter if len(centers) else 0):
         near = nearest(points, Summaries(np.ones(len(centers)), centers, centers), "euclidean")
-        sums = _collected(summarize(near.withColumn("cluster", F.col("cluster")), "cluster"), "cluster", len(centers))
+        sums = _collected(summarize(near, "cluster"), "cluster", len(centers))
         new = sums.centroid
         if (empty := np.flatnonzero(sums.n == 0)).size:
             far = near.orderBy(F.desc("distance"), "id").limit(len(empty)).collect()
@@ -154,19 +171,23 @@ def kmeans(points: DataFrame, k: int, seed: int = 0, max_iter: int = 100, tol: f
         if moved <= tol:
             break
     if not len(centers):
-        return points.select("id", F.lit(0).alias("cluster"))
-    return nearest(points, Summaries(np.ones(len(centers)), centers, centers), "euclidean").select("id", "cluster")
+        out = points.select("id", F.lit(0).alias("cluster"))
+    else:
+        out = nearest(points, Summaries(np.ones(len(centers)), centers, centers), "euclidean").select("id", "cluster")
+    out.rests_on = [points]
+    return out
 
 
 class Bfr:
     """BFR: a discard set of k summaries, a compression set of further ones, and retained points.
 
     fit() takes (id, features, round). The first `sample` points of the first round (by id) are clustered
-    with 5k centers; clusters of 1 to `rare` points are outliers, the others make the discard set by k-means,
+    with 5k centers; clusters of 1 to `rare` points are outliers, the others make the discard set by the best of several k-means,
     the outliers' own clusters of several points the compression set. The other points, round by round, go to
     the nearest discard cluster with a squared Mahalanobis distance below 3 * dim, else to such a compression
     cluster, else to the retained points; the summaries are frozen within a round and then updated at once, so
-    the order of points has no influence. After a round the retained points are clustered anew and compression
+    the order of points has no influence. After a round the retained points are clustered anew, from the same
+    first points in memory or by Spark, and compression
     clusters closer than the bound merged, each at most once. At the end compression clusters go to the nearest
     discard cluster by Mahalanobis, retained points by Euclidean distance.
     """
@@ -195,6 +216,7 @@ class Bfr:
             self._merge()
             held = self.retained.count()
             self.stats.append((number, self.k_found, int(self.ds.n.sum()), len(self.cs), int(self.cs.n.sum()), held))
+        discard(points)
         return self
 
     def rounds(self) -> DataFrame:
@@ -207,11 +229,11 @@ class Bfr:
             near = self.ds.mahalanobis(self.cs.centroid).argmin(axis=1)
             target = {c: int(t) for c, t in zip(self.cs_ids, near)}
         moved = [(c, target[self._root(c)]) for c in {*self.alias, *self.cs_ids}]
-        moved = self.spark.createDataFrame(moved, "cs int, cluster int")
+        moved = self.spark.createDataFrame(moved, "cs int, cluster int")  # the compression clusters there ever were
         out = nearest(self.retained, self.ds, "euclidean").select("id", "cluster")
         for df in self.kept:
             inside = df.where("cs is null").select("id", "cluster")
-            out = out.unionByName(inside).unionByName(df.where("cs is not null").select("id", "cs").join(F.broadcast(moved), "cs").select("id", "cluster"))
+            out = out.unionByName(inside).unionByName(attach(df.where("cs is not null").select("id", "cs"), moved, ["cs"], "inner", ["id"]).select("id", "cluster"))
         return out
 
     def _root(self, c: int) -> int:
@@ -219,19 +241,16 @@ class Bfr:
             c = self.alias[c]
         return c
 
-    def _order(self, ids: np.ndarray) -> np.ndarray:
-        return np.random.default_rng(self.seed).permutation(len(ids))
-
     def _begin(self, now: DataFrame) -> DataFrame:
         rows = now.orderBy("id").limit(self.sample).collect()  # bounded by the parameter
         ids, x = np.array([r["id"] for r in rows]), np.array([r["features"] for r in rows], np.float64)
         self.dim = x.shape[1]
-        label = lloyd(x, self._order(ids), 5 * self.k)
+        label = lloyd(x, seeded_order(ids, self.seed), 5 * self.k)
         count = np.bincount(label)
         out = count[label] <= self.rare
         if out.all():
             out[:] = False
-        inner = lloyd(x[~out], self._order(ids[~out]), self.k)
+        inner = steadier_lloyd(x[~out], ids[~out], self.k, self.seed)
         self.k_found = int(inner.max()) + 1
         self.ds = Summaries.of(x[~out], inner, self.k_found)
         schema = "id long, cluster int, cs int"
@@ -243,7 +262,7 @@ class Bfr:
         """Cluster retained points in memory: clusters of several become compression clusters."""
         single = np.ones(len(ids), bool)
         if len(ids):
-            label = lloyd(x, self._order(ids), 5 * self.k)
+            label = lloyd(x, seeded_order(ids, self.seed), 5 * self.k)
             count = np.bincount(label)
             single = count[label] == 1
             self._compress(Summaries.of(x, label, len(count)), [(int(i), int(c)) for i, c in zip(ids[~single], label[~single])], count > 1)
@@ -259,8 +278,8 @@ class Bfr:
         if isinstance(members, list):
             members = self.spark.createDataFrame([(i, None, number[c]) for i, c in members], "id long, cluster int, cs int")
         else:
-            pairs = self.spark.createDataFrame(list(number.items()), "label int, cs int")
-            members = members.join(F.broadcast(pairs), "label").select("id", F.lit(None).cast("int").alias("cluster"), "cs")
+            pairs = self.spark.createDataFrame(list(number.items()), "label int, cs int")  # at most 5k rows
+            members = attach(members, pairs, ["label"], "inner", ["id"]).select("id", F.lit(None).cast("int").alias("cluster"), "cs")
         self.kept.append(members)
 
     def _assign(self, now: DataFrame) -> None:
@@ -285,22 +304,29 @@ class Bfr:
         if len(cs) and (more := _collected(summarize(placed.where("cs_at >= 0"), "cs_at"), "cs_at", len(cs))) is not None:
             self.cs = cs.plus(more)
         number = F.expr(f"case when cs_at >= 0 then element_at(array({','.join(f'{n}' for n in numbers) or '-1'}), cs_at + 1) end")
-        self.kept.append(placed.where("ds >= 0 or cs_at >= 0").select("id", F.when(F.col("ds") >= 0, F.col("ds")).alias("cluster"), number.cast("int").alias("cs")))
+        kept = placed.where("ds >= 0 or cs_at >= 0").select("id", F.when(F.col("ds") >= 0, F.col("ds")).alias("cluster"), number.cast("int").alias("cs"))
+        self.kept.append(materialize(kept, "bfr-kept"))
         left = placed.where("ds < 0 and cs_at < 0").select("id", "features")
-        self.retained = materialize(self.retained.unionByName(left), "bfr-retained")
+        before, self.retained = self.retained, materialize(self.retained.unionByName(left), "bfr-retained")
+        discard(before)
+        discard(placed)
 
     def _recluster(self) -> None:
         n = self.retained.count()
         if 0 < n <= DRIVER_POINTS:
             rows = self.retained.orderBy("id").collect()
+            before = self.retained
             self._take(np.array([r["id"] for r in rows]), np.array([r["features"] for r in rows], np.float64))
+            discard(before)
         elif n:
-            label = kmeans(self.retained, 5 * self.k, self.seed).withColumnRenamed("cluster", "label")
-            label = materialize(self.retained.join(label, "id"), "bfr-labels")
+            near = kmeans(self.retained, 5 * self.k, self.seed)
+            label = materialize(self.retained.join(near.withColumnRenamed("cluster", "label"), "id"), "bfr-labels")
+            discard(near)
             sums = _collected(summarize(label, "label"), "label", 5 * self.k)
             self._compress(sums, label.select("id", "label"), sums.n > 1)
             single = [int(c) for c in np.flatnonzero(sums.n == 1)]
-            self.retained = materialize(label.where(F.col("label").isin(single)).select("id", "features"), "bfr-retained")
+            before, self.retained = self.retained, materialize(label.where(F.col("label").isin(single)).select("id", "features"), "bfr-retained")
+            discard(before)
 
     def _merge(self) -> None:
         """One greedy pass in the order of the clusters; each is merged at most once."""

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quarrymill.plans.shipping import ship
 from quarrymill.plans.storage import materialize
 
 #: The multipliers and shifts of the ten membership hashes, their modulus and the number of positions.
@@ -15,6 +19,8 @@ BLOOM_POSITIONS = 10000
 #: Modulus and range of the distinct-count hashes.
 FM_MODULUS = 10000000343
 FM_RANGE = 10**10
+#: Values hashed at once, and groups whose maxima a task holds.
+FM_AT_ONCE, FM_GROUPS = 2000, 1000
 
 
 def text_number(text: str, modulus: int) -> Column:
@@ -38,12 +44,26 @@ def bloom_build(values: DataFrame, column: str) -> DataFrame:
 
 
 def bloom_probe(values: DataFrame, column: str, bits: DataFrame) -> DataFrame:
-    """values with `member`: 1 if all positions of the value are set, else 0; 0 for an empty or null value."""
-    # bits has a fixed greatest size
-    hit = bloom_positions(values, column).join(F.broadcast(bits.withColumn("bit", F.lit(1))), "pos", "left")
-    known = hit.groupBy("value").agg(F.count("bit").alias("set"), F.count("*").alias("all")).where(F.col("set") == F.col("all"))
-    known = known.select(F.col("value").alias(column), F.lit(1).alias("_in"))
-    return values.join(known, column, "left").withColumn("member", F.coalesce("_in", F.lit(0))).drop("_in")
+    """values with `member`: 1 if all positions of the value are set, else 0; 0 for an empty or null value.
+
+    The bits, of a fixed greatest number, stand as a constant in the plan, so rows are tested where they are.
+    """
+    words = [0] * (BLOOM_POSITIONS // 64 + 1)
+    for r in bits.select("pos").distinct().collect():  # at most BLOOM_POSITIONS rows
+        words[r[0] // 64] |= 1 << r[0] % 64
+    table = F.array(*[F.lit(w - (1 << 64) if w >> 63 else w).cast("long") for w in words])
+
+    def is_set(x: Column) -> Column:
+        held = F.lit(True)
+        for a, b in BLOOM_HASHES:
+            p = (a % BLOOM_MODULUS * x + b) % BLOOM_MODULUS % BLOOM_POSITIONS
+            word = F.element_at(table, F.floor(p / 64).cast("int") + 1)
+            held = held & (F.call_function("shiftright", word, (p % 64).cast("int")).bitwiseAND(F.lit(1)) == 1)
+        return held
+
+    text = F.col(column)
+    member = F.forall(F.array(text_number(f"`{column}`", BLOOM_MODULUS)), is_set)  # the number is computed once a row
+    return values.withColumn("member", F.when(text != "", member.cast("int")).otherwise(0))
 
 
 def bloom_report(probed: DataFrame, order: str) -> DataFrame:
@@ -58,15 +78,61 @@ def fm_parameters(hashes: int, seed: int = 0) -> list[tuple[int, int]]:
 
 
 def fm_zeros(values: DataFrame, column: str, hashes: int, seed: int = 0, groups: list[str] | None = None) -> DataFrame:
-    """(groups, hash_no, zeros): the most trailing zeros of any distinct value, for each hash function."""
+    """(groups, hash_no, zeros): the most trailing zeros of any value, for each hash function.
+
+    Maxima do not mind repetition, so nothing is made distinct first: a task hashes the different values of a
+    batch and keeps one list of maxima for each group, and the lists of all tasks are merged.
+    """
     groups = groups or []
-    distinct = values.select(*groups, F.col(column).cast("string").alias("value")).where("value is not null").distinct()
-    x = distinct.select(*groups, text_number("value", FM_MODULUS).cast("decimal(11,0)").alias("x"))
-    family = ",".join(f"struct({i} as hash_no, {a}BD as a, {b}BD as b)" for i, (a, b) in enumerate(fm_parameters(hashes, seed)))
-    every = x.select(*groups, "x", F.expr(f"inline(array({family}))"))
-    h = every.withColumn("h", F.expr(f"cast((a * x + b) % {FM_MODULUS}BD % {FM_RANGE}BD as bigint)"))
-    zeros = F.expr("if(h = 0, 1, bit_count((h & -h) - 1))")
-    return h.groupBy(*groups, "hash_no").agg(F.max(zeros).alias("zeros"))
+    ship(values.sparkSession)
+    rows = values.select(*[F.col(g).alias(f"g{k}") for k, g in enumerate(groups)], F.col(column).cast("string").alias("v")).where("v is not null")
+    names = rows.columns[:-1]
+    a, b = (np.array(x, np.uint64) for x in zip(*fm_parameters(hashes, seed)))
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def packed() -> pa.RecordBatch:
+            keys = [pa.array([g[k] for g in held], schema.field(n).type) for k, n in enumerate(names)]
+            batch = pa.RecordBatch.from_arrays([*keys, pa.array([z.tolist() for z in held.values()], pa.list_(pa.int32()))], [*names, "zeros"])
+            held.clear()
+            return batch
+
+        schema = None
+        for batch in batches:
+            schema = schema or batch.schema
+            once = pa.Table.from_batches([batch]).group_by(batch.schema.names).aggregate([])
+            known = {v: k for k, v in enumerate(dict.fromkeys(once.column("v").to_pylist()))}
+            x = np.array([int.from_bytes(v.encode(), "big") % FM_MODULUS for v in known], np.uint64)
+            at = np.array([known[v] for v in once.column("v").to_pylist()], np.int64)
+            members: dict[tuple, list[int]] = {}
+            for row, g in enumerate(zip(*[once.column(n).to_pylist() for n in names]) if names else [()] * len(once)):
+                members.setdefault(g, []).append(at[row])
+            for g, own in members.items():
+                for k in range(0, len(own), FM_AT_ONCE):
+                    most = _trailing_zeros(a, b, x[own[k : k + FM_AT_ONCE]])
+                    held[g] = np.maximum(held[g], most) if g in held else most
+            if len(held) >= FM_GROUPS:
+                yield packed()
+        if held:
+            yield packed()
+
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
+    lists = rows.mapInArrow(sketch, f"{kinds}zeros array<int>").select(*[F.col(n).alias(g) for n, g in zip(names, groups)], F.posexplode("zeros").alias("hash_no", "z"))
+    return lists.groupBy(*groups, "hash_no").agg(F.max("z").alias("zeros"))
+
+
+def _trailing_zeros(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The most trailing zeros of (a * x + b) % FM_MODULUS % FM_RANGE over the numbers x, for each (a, b); a zero has one.
+
+    The factors have 34 bits; a is cut at 17 so that no product passes 64.
+    """
+    p, low = np.uint64(FM_MODULUS), np.uint64(17)
+    high, rest = (a % p >> low)[:, None], (a % p & np.uint64((1 << 17) - 1))[:, None]
+    h = (((high * x % p) << low) + rest * x + (b % p)[:, None]) % p % np.uint64(FM_RANGE)
+    lowest = h & (~h + np.uint64(1))
+    zeros = np.where(h == 0, 1, np.bitwise_count(lowest - np.uint64(1)).astype(np.int32))
+    return zeros.max(axis=1).astype(np.int32)
 
 
 def fm_distinct(values: DataFrame, column: str, hashes: int = 1000, group: int = 100, seed: int = 0, groups: list[str] | None = None, clamp: bool = False) -> DataFrame:

@@ -52,6 +52,14 @@ def bfr_labels(spark: SparkSession, folder: str) -> DataFrame:
     return cl.Bfr(10).fit(points(spark, folder)).labels()
 
 
+def bfr_conserved(spark: SparkSession, folder: str) -> DataFrame:
+    """After each round, the points in all three sets, which must be all points so far, and those that got a label."""
+    fit = cl.Bfr(10).fit(points(spark, folder))
+    held = fit.rounds().select("round_id", F.expr("nof_point_discard + nof_point_compression + nof_point_retained").alias("points"))
+    labelled = fit.labels().agg(F.count("*").alias("rows"), F.count_distinct("id").alias("ids"), F.sum(F.expr("cast(cluster between 0 and 9 as int)")).alias("in_range"))
+    return held.crossJoin(F.broadcast(labelled))  # one row
+
+
 def _events(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id")
 
@@ -71,7 +79,8 @@ def bloom_probe(spark: SparkSession, folder: str) -> DataFrame:
     return sk.bloom_probe(probe, "u", sk.bloom_build(_members(spark, folder), "u")).select("event_id", "member")
 
 
-HASHES, GROUP = 60, 6
+#: As the operators have them: 1,000 hash functions, estimates averaged in runs of 100.
+HASHES, GROUP = 1000, 100
 
 
 def _local(windows: DataFrame) -> DataFrame:
@@ -111,7 +120,7 @@ def trending_tags(spark: SparkSession, folder: str) -> DataFrame:
     return sk.top_levels(reservoir_sample(spark, folder), "tag", 3)
 
 
-QUERIES = {f.__name__: f for f in (cluster_summaries, nearest_centroid, mahalanobis_assign, kmeans_labels, bfr_rounds, bfr_labels, bloom_bits, bloom_probe, fm_estimate, fm_windows, distinct_windows, stream_distinct_windows, reservoir_sample, trending_tags)}
+QUERIES = {f.__name__: f for f in (cluster_summaries, nearest_centroid, mahalanobis_assign, kmeans_labels, bfr_rounds, bfr_labels, bfr_conserved, bloom_bits, bloom_probe, fm_estimate, fm_windows, distinct_windows, stream_distinct_windows, reservoir_sample, trending_tags)}
 
 _SUMS = """with x as (select vec_id id, label, unnest(embedding)::double v, unnest(range(len(embedding))) pos from embeddings),
 s as (select label, pos::int pos, count(*) n, sum(v) total, sum(v * v) squares from x group by 1, 2)
@@ -125,6 +134,18 @@ bits as (select distinct {_SPOTS} pos from x where early)
 """
 
 
+def _kmeans(k: int, rounds: int) -> str:
+    """Lloyd's rounds unrolled; those after convergence change nothing."""
+    parts = [f"c0 as materialized (select row_number() over (order by md5('0:' || vec_id), vec_id) - 1 c, embedding::double[] e from embeddings qualify c < {k})"]
+    near = lambda i: f"(select id, arg_min(c, (d, c)) c from (select x.id, c.c, sum((x.v - c.v) ** 2) d from pt x join f{i} c using (pos) group by 1, 2) group by 1)"
+    parts.append("pt as materialized (select vec_id id, unnest(embedding)::double v, unnest(range(len(embedding))) pos from embeddings)")
+    parts.append("f0 as materialized (select c, unnest(e) v, unnest(range(len(e))) pos from c0)")
+    for i in range(rounds):
+        parts.append(f"n{i} as materialized {near(i)}")
+        parts.append(f"f{i + 1} as materialized (select c, avg(v) v, pos from pt join n{i} using (id) group by c, pos)")
+    return "with " + ", ".join(parts) + f" select id, c::int cluster from {near(rounds)}"
+
+
 def _fm(source: str, keys: str) -> str:
     family = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(sk.fm_parameters(HASHES)))
     group = f"{keys}, " if keys else ""
@@ -152,6 +173,8 @@ ORACLES = {
     "nearest_centroid": _SUMS + ", d as (select x.id, s.label, sum((v - total / n) ** 2) d from x join s using (pos) group by 1, 2) select id, arg_min(label, d)::int nearest from d group by 1",
     "mahalanobis_assign": _SUMS
     + ", d as (select x.id, s.label, sum((v - total / n) ** 2 / (squares / n - (total / n) ** 2)) d, count(*) dim from x join s using (pos) group by 1, 2) select id, arg_min(label, d)::int nearest, min(d) < 3 * any_value(dim) inside from d group by 1",
+    "kmeans_labels": _kmeans(10, 30),
+    "bfr_conserved": "select round_id, points, t as rows, t ids, t in_range from (select label round_id, sum(count(*)) over (order by label)::bigint points from (select vec_id % 5 + 1 as label from embeddings) group by label), (select count(*) t from embeddings)",
     "bloom_bits": _BLOOM + "select pos from bits",
     "bloom_probe": _BLOOM
     + f""", p as (select u, {_SPOTS} pos from x), m as (select u, bool_and(pos in (select pos from bits)) i from p group by 1)

@@ -41,6 +41,17 @@ def test_bfr_conserves_points_and_finds_blobs(spark):
     assert all(len({label[i] for i in range(k, 300, 3)}) == 1 for k in range(3)) and len({label[k] for k in range(3)}) == 3
 
 
+def test_reclustering_in_memory_and_by_spark_is_the_same(spark, monkeypatch):
+    from quarrymill.plans import storage
+
+    before = len(storage._written)
+    here = cl.Bfr(3).fit(blobs(spark))
+    monkeypatch.setattr(cl, "DRIVER_POINTS", 0)
+    there = cl.Bfr(3).fit(blobs(spark))
+    assert rows(here.rounds()) == rows(there.rounds()) and rows(here.labels()) == rows(there.labels())
+    assert len(storage._written) - before <= 12  # kept and retained tables of two fits; those of rounds and k-means are gone
+
+
 def test_distributed_kmeans_and_summaries(spark):
     label = dict(rows(cl.kmeans(blobs(spark).where("id < 300"), 3, seed=2)))
     assert len(label) == 300 and len(set(label.values())) == 3
@@ -55,6 +66,24 @@ def test_bloom_positions_by_hand(spark):
     assert {c: (a * x + b) % sk.BLOOM_MODULUS % sk.BLOOM_POSITIONS for c, x in rows(x)} == {"Las Vegas": 7289, "Zürich": 6238, "A": 2570}
 
 
+def test_sketches_shuffle_no_values(spark):
+    df = spark.createDataFrame([("a", "g")], "c string, g string")
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan(sk.bloom_probe(df, "c", sk.bloom_build(df, "c")))
+    assert plan(sk.fm_zeros(df, "c", 4)).count("Aggregate") == 1 and "Join" not in plan(sk.fm_zeros(df, "c", 4))
+
+
+def test_fm_groups_with_a_null_key_and_far_numbers(spark):
+    data = [("x", "a"), ("x", "b"), (None, "a"), ("y", "\U0001f600" * 30), ("y", None)]
+    df = spark.createDataFrame(data, "hash_no string, v string").withColumnRenamed("hash_no", "g")
+    got = {(g, k): z for g, k, z in sk.fm_zeros(df, "v", 5, 1, ["g"]).collect()}
+    for g in ("x", None, "y"):
+        for k, (a, b) in enumerate(sk.fm_parameters(5, 1)):
+            h = [(a * int.from_bytes(v.encode(), "big") + b) % sk.FM_MODULUS % sk.FM_RANGE for w, v in data if w == g and v]
+            assert got[g, k] == max(1 if x == 0 else (x & -x).bit_length() - 1 for x in h)
+    assert rows(sk.fm_distinct(df.limit(0), "v", 8, 2)) == []
+
+
 def test_bloom_has_no_false_negative(spark):
     build = spark.createDataFrame([(f"city {k} é",) for k in range(40)], "c string")
     probe = spark.createDataFrame([(k, f"city {k} é") for k in range(60)] + [(98, ""), (99, None)], "i long, c string")
