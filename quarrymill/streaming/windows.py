@@ -5,10 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarrymill.operators.sketches import fm_distinct, reservoir, top_levels
-from quarrymill.plans.storage import materialize, shared_dir
+from quarrymill.plans.storage import children, discard, materialize, remove, shared_dir
 
 
 def windowed(rows: DataFrame, ts: str, length: str, slide: str) -> DataFrame:
@@ -40,32 +40,66 @@ def stream_distinct_windows(stream: DataFrame, ts: str, value: str, length: str,
     return once.groupBy("w").agg(F.count("*").alias("distinct_values")).select(F.col("w.start").alias("window_start"), "distinct_values")
 
 
-def fm_stream(stream: DataFrame, write: Callable[[DataFrame, int], None], ts: str, value: str, length: str, slide: str, late: str, checkpoint: str, hashes: int = 1000, group: int = 100):
-    """Start a query that hands (window_start, distinct_values, estimate) of each closed window to `write`."""
+def session_windows(rows: DataFrame, ts: str, value: str, gap: str) -> DataFrame:
+    """(session_start, session_end, distinct_values): runs of rows that follow each other within `gap`."""
+    w = rows.where(F.col(value).isNotNull()).groupBy(F.session_window(ts, gap).alias("w")).agg(F.count_distinct(value).alias("distinct_values"))
+    return w.select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "distinct_values")
+
+
+def fm_stream(stream: DataFrame, write: Callable[[DataFrame, int], None], ts: str, value: str, length: str, slide: str, late: str, checkpoint: str, hashes: int = 1000, group: int = 100, every: str | None = None):
+    """A query, to be started, that hands (window_start, distinct_values, estimate, time) of each closed window to `write`.
+
+    `time` is the clock at the batch. `every` is the interval of batches, such as "5 seconds"; without it what
+    is there is read once. Tumbling windows have slide = length.
+    """
     marked = stream.where(F.col(value).isNotNull()).withWatermark(ts, late)
     closed = marked.groupBy(F.window(ts, length, slide).alias("w"), value).count()
 
     def batch(df: DataFrame, number: int) -> None:
         rows = materialize(df.select(F.col("w.start").alias("window_start"), value), "closed-windows")
         truth = rows.groupBy("window_start").agg(F.count("*").alias("distinct_values"))
-        write(truth.join(fm_distinct(rows, value, hashes, group, groups=["window_start"]), "window_start"), number)
+        estimate = fm_distinct(rows, value, hashes, group, groups=["window_start"])
+        write(truth.join(estimate, "window_start").withColumn("time", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")), number)
+        discard(rows)
 
-    return closed.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(batch)
+    query = closed.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(batch)
+    return query.trigger(processingTime=every) if every else query.trigger(availableNow=True)
 
 
 class StreamSample:
     """A uniform sample of fixed size over all batches so far, and the values trending in it.
 
-    Pass `add` to foreachBatch. A batch adds its own rows of least hash to the sample, whose size is n; a batch
-    delivered again changes nothing.
+    Pass `add` to foreachBatch. The sample after each batch is a table in `folder` under the number of the
+    batch, so a query restarted from its checkpoint goes on from it; a batch delivered again starts from the
+    table before it and changes nothing. Rows with an equal `ident` count once. Of the tables only the last
+    two stay.
     """
 
-    def __init__(self, ident: list[str], n: int = 100, seed: str = "0"):
-        self.ident, self.n, self.seed, self.sample = ident, n, seed, None
+    def __init__(self, spark: SparkSession, ident: list[str], n: int = 100, seed: str = "0", folder: str | None = None):
+        self.spark, self.ident, self.n, self.seed = spark, ident, n, seed
+        self.folder = (folder or f"{shared_dir(spark)}/quarrymill/sample-{uuid.uuid4().hex}").rstrip("/")
+
+    def _numbers(self) -> list[int]:
+        """Batches whose table was written whole."""
+        names = (c for c in children(self.spark, self.folder) if c.startswith("batch-"))
+        return sorted(int(c[6:]) for c in names if "_SUCCESS" in children(self.spark, f"{self.folder}/{c}"))
+
+    def _read(self, number: int, schema) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/batch-{number}")
+
+    def add(self, batch: DataFrame, number: int) -> None:
+        before = [k for k in self._numbers() if k < number]
+        rows = self._read(before[-1], batch.schema).unionByName(batch) if before else batch
+        kept = reservoir(rows.dropDuplicates(self.ident), self.ident, self.n, self.seed)
+        kept.write.mode("overwrite").parquet(f"{self.folder}/batch-{number}")
+        for k in before[:-1]:
+            remove(self.spark, f"{self.folder}/batch-{k}")
 
-    def add(self, batch: DataFrame, number: int = 0) -> None:
-        rows = batch if self.sample is None else self.sample.unionByName(batch).dropDuplicates(self.ident)
-        self.sample = materialize(reservoir(rows, self.ident, self.n, self.seed), "stream-sample")
+    @property
+    def sample(self) -> DataFrame | None:
+        """The sample after the last batch, None before the first."""
+        held = self._numbers()
+        return self.spark.read.parquet(f"{self.folder}/batch-{held[-1]}") if held else None
 
     def trending(self, column: str, levels: int = 3) -> DataFrame:
         return top_levels(self.sample, column, levels)
@@ -87,4 +121,6 @@ def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
-    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+    rows = materialize(spark.read.schema(stream.schema).parquet(f"{out}/rows"), "stream-rows")
+    remove(spark, out)
+    return rows

@@ -42,6 +42,8 @@ def test_sinks(spark, tmp_path):
     assert rows(spark.read.schema("k string, v long").json(str(tmp_path / "j"))) == [("a", 1), ("b", 2)]
     sinks.write_object(spark.createDataFrame([(10, 1), (9, 2)], "k long, v long"), "k", "v", str(tmp_path / "o"))
     assert list(json.loads(spark.read.text(str(tmp_path / "o")).first()[0]).items()) == [("9", 2), ("10", 1)]
+    sinks.write_object(spark.createDataFrame([(10, 1), (9, 2)], "k long, v long"), "k", "v", str(tmp_path / "ol"), lines=True)
+    assert [r[0] for r in spark.read.text(str(tmp_path / "ol")).collect()] in (['{"9":2}', '{"10":1}'], ['{"10":1}', '{"9":2}'])
     sinks.write_lines(spark.createDataFrame([("x", "y", 1.5)], "a string, b string, q double"), sinks.pair_line("a", "b", "q"), str(tmp_path / "l"))
     assert spark.read.text(str(tmp_path / "l")).first()[0] == "('x', 'y'), 1.5"
     sinks.write_lines(spark.createDataFrame([(["x", "y"],)], "m array<string>"), sinks.members_line("m"), str(tmp_path / "m"))
@@ -99,13 +101,94 @@ def test_fm_stream_and_appending_sink(spark, tmp_path):
     assert sorted(int(r["distinct_values"]) for r in got.collect()) == [1, 2, 2]
 
 
-def test_stream_sample_equals_one_over_everything(spark):
+def test_stream_sample_equals_one_over_everything(spark, tmp_path):
     df = spark.createDataFrame([(k, f"t{k % 4}") for k in range(90)], "id long, tag string")
-    sample = win.StreamSample(["id"], 15, "s")
-    for k in (0, 1, 1, 2):  # a batch comes twice
+    sample = win.StreamSample(spark, ["id"], 15, "s", str(tmp_path / "sample"))
+    assert sample.sample is None
+    for k in (0, 1, 1):  # a batch comes twice
         sample.add(df.where(f"id % 3 = {k}"), k)
-    assert rows(sample.sample) == rows(reservoir(df, ["id"], 15, "s"))
-    assert all(r["count"] for r in sample.trending("tag").collect())
+    again = win.StreamSample(spark, ["id"], 15, "s", str(tmp_path / "sample"))  # after a restart
+    again.add(df.where("id % 3 = 2"), 2)
+    assert rows(again.sample) == rows(sample.sample) == rows(reservoir(df, ["id"], 15, "s"))
+    assert all(r["count"] for r in again.trending("tag").collect())
+    assert len([p for p in (tmp_path / "sample").iterdir()]) == 2
+
+
+def test_stream_sample_drops_repeats_of_its_first_batch(spark):
+    df = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y")], "id long, tag string")
+    sample = win.StreamSample(spark, ["id"], 5, "s")
+    sample.add(df, 0)
+    assert rows(sample.sample) == [(1, "x"), (2, "y")]
+
+
+def test_stream_sample_goes_on_after_a_restart_of_the_query(spark, tmp_path):
+    for k in range(3):
+        spark.range(k * 30, k * 30 + 30).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for _ in range(2):  # the second query finds the checkpoint and the sample of the first
+        sample = win.StreamSample(spark, ["id"], 10, "s", str(tmp_path / "sample"))
+        stream = readers.stream_folder(spark, str(tmp_path / "in"), "id long", "parquet", files=1)
+        query = stream.writeStream.foreachBatch(sample.add).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        spark.range(90, 120).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert rows(sample.sample) == rows(reservoir(spark.range(120), ["id"], 10, "s"))
+
+
+def test_batches_by_the_clock_and_session_windows(spark, tmp_path):
+    import time
+
+    stream = events(spark, tmp_path, DAYS)
+    query = win.fm_stream(stream, sinks.appending(str(tmp_path / "out")), "ts", "city", "2 days", "2 days", "1 day", str(tmp_path / "state"), 6, 2, every="1 second").start()
+    until = time.time() + 60
+    while time.time() < until and not list((tmp_path / "out").glob("batch=*/*.csv")):
+        query.processAllAvailable()
+    query.stop()
+    assert query.exception() is None
+    got = spark.read.option("header", True).csv(str(tmp_path / "out" / "batch=*")).collect()
+    assert got and all(r["time"][:2] == "20" and int(r["distinct_values"]) for r in got)
+    batch = spark.read.schema("ts timestamp, city string").json(str(tmp_path / "in"))
+    assert [r["distinct_values"] for r in win.session_windows(batch, "ts", "city", "2 hours").orderBy("session_start").collect()] == [2, 1, 1]
+
+
+def test_tagged_messages_filter_at_the_source(spark, tmp_path):
+    from quarrymill.sources import tag_stream
+
+    tag = lambda t: {"hashtags": [{"text": t}, None]}
+    first = [{"tweet_id": 1, "lang": "en", "text": "in America", "entities": tag("a")}, {"tweet_id": 2, "lang": "fr", "text": "america", "entities": None}, {"tweet_id": 3, "lang": "en"}, [1]]
+    (tmp_path / "1.json").write_text("\n".join(map(json.dumps, first)) + "\nno json\n")
+    (tmp_path / "2.json").write_text(json.dumps({"tweet_id": 4, "lang": "EN", "text": "AMERICA!", "entities": {"hashtags": None}}))
+    tag_stream.register(spark)
+    given = {"path": str(tmp_path), "track": "america, other", "languages": "en"}
+    batch = spark.read.format("tagged_messages").options(**given).load()
+    assert [(r["tweet_id"], r["entities"]["hashtags"]) for r in batch.orderBy("tweet_id").collect()] == [(1, [("a",), None]), (4, None)]
+    assert spark.read.format("tagged_messages").option("path", str(tmp_path)).load().count() == 4
+    stream = spark.readStream.format("tagged_messages").options(**given).load().select("tweet_id")
+    assert rows(win.run_to_end(stream)) == [(1,), (4,)]
+
+
+def test_socket_lines_reach_a_stream(spark, tmp_path):
+    import socket
+    import threading
+
+    server = socket.create_server(("127.0.0.1", 0))
+
+    def serve():
+        link, _ = server.accept()
+        link.sendall(b'{"city": "x"}\n{"city": "y"}\n')
+        done.wait(60)
+        link.close()
+
+    done = threading.Event()
+    threading.Thread(target=serve, daemon=True).start()
+    stream = readers.stream_socket(spark, "127.0.0.1", server.getsockname()[1], "city string")
+    seen = []
+    query = stream.writeStream.foreachBatch(lambda df, k: seen.extend(r["city"] for r in df.collect())).option("checkpointLocation", str(tmp_path)).start()
+    for _ in range(100):
+        query.processAllAvailable()
+        if len(seen) == 2:
+            break
+    done.set()
+    query.stop()
+    assert sorted(seen) == ["x", "y"]
 
 
 def test_tracked_words_and_languages(spark):
