@@ -1,67 +1,82 @@
-"""Exact per-key quantiles without ever gathering the values of a hot key."""
+"""Exact per-key quantiles from histograms, without ever gathering the values of a key."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quarrymill.plans.skew import attach
+from quarrymill.plans.skew import HOT_ROWS, attach_counts, fits
 from quarrymill.plans.storage import discard, materialize
 
 NULL_VALUE = -(2**63)
+_STATE = ["n", "k", "v0", "v1", "i0", "i1"]
 
 
-def keyed_median(rows: DataFrame, keys: list[str], value: str, ident: str, min_rows: int = 1, hot_rows: int = 20_000, bin_bits: int = 10) -> DataFrame:
+def keyed_median(rows: DataFrame, keys: list[str], value: str, ident: str, min_rows: int = 1, hot_rows: int = HOT_ROWS, bin_bits: int = 8, rounds: list[int] | None = None) -> DataFrame:
     """The row at position floor((n + 1) / 2) of each key, ordered by (`value`, `ident`).
 
-    Keys with at most `hot_rows` rows are ranked by a window. For hotter ones the rows never meet: each
-    round counts them, map-side first, in about 2**bin_bits bins of the key's present interval of `value`,
-    and keeps the bin in which the wanted position lies, until that bin holds at most `hot_rows` rows or
-    one value; then the same is done on `ident`. Rounds needed: log(n / hot_rows) / log(bins).
+    All keys go the same way. A round counts the rows of each key in at most 2**(bin_bits + 1) bins of `value`,
+    map-side first, with the least and greatest value and ident of a bin; the first round has the same bins
+    for all keys. The counts, added up, name the bin that holds the wanted position. A bin of one or two rows,
+    or of equal ones, gives the row itself; the rows of all other wanted bins, and only these, go into the
+    next round, in bins of the interval that they span, by `ident` once their values are equal. So a task
+    holds the bins of a key at most, never its rows; rounds needed: log(range / bins), few for any data.
+    The rows of wanted bins are found by (key, bin); bins of more than `hot_rows` rows are split off.
 
     `value` and `ident` are bigint; a null value comes first, a null ident before others; rows with a null
     in any key are left out. Repeated rows count each. Keys with fewer than `min_rows` rows give nothing,
     an empty table gives none. Other columns are ignored. Result: the keys, `ident`, `value`, n.
+    `rounds`, if given, takes the number of keys left after each round.
     """
     low = F.lit(NULL_VALUE)
     names, keys = keys, [f"_k{i}" for i in range(len(keys))]  # free of clashes with the columns below
     base = rows.select(*[F.col(c).alias(k) for c, k in zip(names, keys)], F.coalesce(value, low).alias("_v"), F.coalesce(ident, low).alias("_i")).dropna(subset=keys)
-    counts = base.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_v").alias("v0"), F.max("_v").alias("v1"), F.min("_i").alias("i0"), F.max("_i").alias("i1"))
-    hot = materialize(counts.where(F.col("n") > hot_rows), "hot-keys")
-    found = _ranked(attach(base, hot.select(*keys), keys, "left_anti", ["_i"]), keys, min_rows)
-    state = hot.where(F.col("n") >= min_rows).withColumn("k", F.floor((F.col("n") + 1) / 2)).withColumn("m", F.col("n"))
-    while (todo := state.agg(F.max(F.expr(f"m > {hot_rows} and (v0 < v1 or i0 < i1)"))).first()[0]) is not None:
-        if not todo:
-            single = state.where("v0 = v1 and i0 = i1").select(*keys, F.col("i0").alias("_i"), F.col("v0").alias("_v"), "n")
-            rest = state.where("not (v0 = v1 and i0 = i1)")
-            at = attach(base, rest, keys, "inner", ["_i"]).where("_v between v0 and v1 and _i between i0 and i1")
-            w = Window.partitionBy(*keys).orderBy("_v", "_i")
-            last = at.withColumn("at", F.row_number().over(w)).where("at = k")
-            found = found.unionByName(single).unionByName(last.select(*keys, "_i", "_v", "n"))
+    ends = base.where(F.col("_v") != low).agg(F.min("_v"), F.max("_v")).first()
+    lo, hi = (e if e is not None else 0 for e in ends)
+    whole = {"n": None, "k": None, "v0": lo, "v1": hi, "i0": 0, "i1": 0}
+    left = base.select("*", *[F.lit(x).cast("long").alias(c) for c, x in whole.items()])
+    found, held, first = None, None, True
+    while True:
+        left = left.withColumn("_bin", _bin(bin_bits, first))
+        state = materialize(_chosen(left, keys, min_rows), "quantile-state")
+        done = state.where("done").select(*keys, F.expr("case when v0 != v1 then if(k = 1, a, b) when k = 1 then i0 else i1 end").alias("_i"), F.expr("if(k = 1, v0, v1)").alias("_v"), "n")
+        found = done if found is None else found.unionByName(done)
+        going = state.where("not done").select(*keys, "_bin", "c", *_STATE)
+        number = going.count()
+        if rounds is not None:
+            rounds.append(number)
+        if not number:
             break
-        before, state = state, materialize(_refined(base, state, keys, hot_rows, bin_bits), "quantile-state")
-        discard(before)
+        bare, on = left.select(*keys, "_v", "_i", "_bin"), [*keys, "_bin"]
+        inside = bare.join(F.broadcast(going), on) if fits(going) else attach_counts(bare, going, on, "c", ["_i"], hot_rows)
+        before, held = held, materialize(inside.select(*keys, "_v", "_i", *_STATE), "wanted-rows")
+        if before is not None:
+            discard(before)
+        left, first = held, False
+    if held is not None:
+        discard(held)
     out = lambda c: F.nullif(c, low)
     return found.select(*[F.col(k).alias(c) for c, k in zip(names, keys)], out(F.col("_i")).alias(ident), out(F.col("_v")).alias(value), "n")
 
 
-def _ranked(rows: DataFrame, keys: list[str], min_rows: int) -> DataFrame:
-    w = Window.partitionBy(*keys)
-    ranked = rows.withColumn("at", F.row_number().over(w.orderBy("_v", "_i"))).withColumn("n", F.count("*").over(w))
-    return ranked.where(f"n >= {min_rows} and at = floor((n + 1) / 2)").select(*keys, "_i", "_v", "n")
+def _bin(bits: int, first: bool):
+    """A number for the row's place in its interval, ascending; nulls have a bin of their own in the first round."""
+    wide = lambda a, b: f"greatest(0, cast(floor(log2(greatest(1d, cast({b} as double) - cast({a} as double)))) as int) - {bits})"
+    by_value = f"shiftright(_v, {wide('v0', 'v1')})"
+    if first:
+        return F.expr(f"if(_v = {NULL_VALUE + 1} - 1, {NULL_VALUE + 1} - 1, {by_value})")
+    return F.expr(f"if(v0 < v1, {by_value}, shiftright(_i, {wide('i0', 'i1')}))")
 
 
-def _refined(base: DataFrame, state: DataFrame, keys: list[str], hot_rows: int, bin_bits: int) -> DataFrame:
-    """One round: a histogram within each key's interval, then the bin that holds position k."""
-    state = state.withColumn("by_v", F.expr("v0 < v1")).withColumn("lo", F.expr("if(by_v, v0, i0)")).withColumn("hi", F.expr("if(by_v, v1, i1)"))
-    state = state.withColumn("s", F.expr(f"greatest(0, cast(ceil(log2(shiftright(hi, 1) - shiftright(lo, 1) + 1d)) as int) + 1 - {bin_bits})"))
-    going, done = state.where(f"m > {hot_rows} and lo < hi"), state.where(f"not (m > {hot_rows} and lo < hi)")
-    inside = attach(base, going, keys, "inner", ["_i"]).where("_v between v0 and v1 and _i between i0 and i1")
-    bins = inside.groupBy(*keys, F.expr("shiftright(if(by_v, _v, _i), s)").alias("bin")).agg(F.count("*").alias("c"))
-    upto = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bins = bins.withColumn("upto", F.sum("c").over(upto))
-    hit = attach(bins, going, keys, "inner", ["bin"]).where("upto >= k and upto - c < k")
-    hit = hit.withColumn("a", F.expr("greatest(lo, shiftleft(bin, s))")).withColumn("b", F.expr("least(hi, shiftleft(bin, s) + (shiftleft(1L, s) - 1))"))
-    columns = {"k": "k - (upto - c)", "m": "c", "v0": "if(by_v, a, v0)", "v1": "if(by_v, b, v1)", "i0": "if(by_v, i0, a)", "i1": "if(by_v, i1, b)"}
-    kept = [*keys, "n"]
-    hit = hit.select(*kept, *[F.expr(e).alias(c) for c, e in columns.items()])
-    return hit.unionByName(done.select(*kept, *columns))
+def _chosen(rows: DataFrame, keys: list[str], min_rows: int) -> DataFrame:
+    """The bin of each key that holds the wanted position, which becomes the position inside it.
+
+    All aggregates are single numbers, so partial ones are hashed and added before the shuffle. `a` and `b` are
+    idents at the least and the greatest value, exact where the bin has two rows.
+    """
+    parts = {"v0": F.min("_v"), "v1": F.max("_v"), "i0": F.min("_i"), "i1": F.max("_i"), "a": F.min_by("_i", "_v"), "b": F.max_by("_i", "_v"), "n": F.max("n"), "k": F.max("k")}
+    bins = rows.groupBy(*keys, "_bin").agg(F.count("*").alias("c"), *[e.alias(c) for c, e in parts.items()])
+    of_key = Window.partitionBy(*keys)
+    upto = F.sum("c").over(of_key.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    bins = bins.withColumn("upto", upto).withColumn("n", F.coalesce("n", F.sum("c").over(of_key))).withColumn("k", F.coalesce("k", F.expr("floor((n + 1) / 2)")))
+    hit = bins.where(f"n >= {min_rows} and upto >= k and upto - c < k").withColumn("k", F.expr("k - (upto - c)"))
+    return hit.withColumn("done", F.expr("c <= 2 or v0 = v1 and (i0 = i1 or k = 1 or k = c)")).drop("upto")

@@ -9,13 +9,13 @@ from quarrymill.plans.storage import materialize
 from quarrymill.sources.tables import counted_reviews, table
 
 
-def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+def p6_found(spark: SparkSession, folder: str, rounds: list[int] | None = None) -> DataFrame:
     """The median review of every business and every user with at least 3 counted reviews."""
     once = counted_reviews(table(spark, folder, "review"), "user_id", "business_id", "created_at")
     once = materialize(once.select("review_id", "user_id", "business_id", F.unix_micros("created_at").alias("at")), "counted-reviews")
     field = lambda c: F.struct(F.lit(c).alias("key_field"), F.col(c).alias("key_value"))
     rows = once.select("review_id", "at", F.inline(F.array(field("business_id"), field("user_id"))))
-    return keyed_median(rows, ["key_field", "key_value"], "at", "review_id", min_rows=3).select("key_field", "key_value", "review_id")
+    return keyed_median(rows, ["key_field", "key_value"], "at", "review_id", min_rows=3, rounds=rounds).select("key_field", "key_value", "review_id")
 
 
 QUERIES = {"p6_found": p6_found}

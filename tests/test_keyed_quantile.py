@@ -48,3 +48,21 @@ def test_small_keys_and_empty_tables(spark):
 def test_clashing_column_names(spark):
     df = spark.createDataFrame([("x", 1, 2, 3), ("x", 4, 5, 6), ("x", 7, 8, 9)], "n string, _v long, k long, lo long")
     assert rows(keyed_median(df, ["n"], "_v", "k", hot_rows=1, bin_bits=1)) == [("x", 5, 4, 3)]
+
+
+def test_every_key_is_found_by_histograms(spark):
+    draw = random.Random(5)
+    data = [(f"k{min(9, int(draw.expovariate(0.7)))}", draw.randrange(-(10**15), 10**15), i, 0) for i in range(900)]
+    rounds = []
+    check(spark, data, 3, bin_bits=1, rounds=rounds)
+    assert len(rounds) >= 3 and rounds[0] >= 4 and rounds[-1] == 0  # nothing is sorted: the hot keys take several rounds
+    rounds = []
+    check(spark, [("a", 5, i, 0) for i in range(500)], bin_bits=1, rounds=rounds)  # one value: the rounds go over the ids
+    assert len(rounds) > 3
+
+
+def test_found_rows_take_rounds_at_a_small_scale(spark):
+    from quarrymill.plans import catalog_p6
+
+    rounds = []
+    assert catalog_p6.p6_found(spark, "/root/testdata/sf0.01", rounds=rounds).count() > 1000 and len(rounds) >= 2
