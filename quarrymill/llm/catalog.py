@@ -120,7 +120,7 @@ with v as (
   where trim(user_id, E' \t\r\n') <> '' and trim(business_id, E' \t\r\n') <> ''
     and not (trim(user_id, E' \t\r\n') = 'user_id' and trim(business_id, E' \t\r\n') = 'business_id')),
 n as (select b, count(*) c from v group by b),
-p as (select x.b b1, y.b b2, count(*) c from v x join v y on x.u = y.u and x.b < y.b group by 1, 2 having count(*) >= 5),
+p as (select x.b b1, y.b b2, count(*) c from v x join v y on x.u = y.u and x.b < y.b group by 1, 2),
 t as (select count(distinct u) big from v)
 """
 _REVIEWS = r"""
@@ -163,7 +163,7 @@ k as (select distinct n from g),
 d as (select distinct id doc_id, n, array_to_string(w[p : p + n - 1], ' ') g from (select id, w, n, unnest(range(1, len(w) - n + 2)) p from w, k where is_doc))
 """
 ORACLES = {
-    "p1_found": _BASKETS + "select b1 business_id_1, b2 business_id_2 from p join n n1 on b1 = n1.b join n n2 on b2 = n2.b, t where p.c * big >= 5 * n1.c * n2.c",
+    "p1_found": _BASKETS + "select b1 business_id_1, b2 business_id_2 from p join n n1 on b1 = n1.b join n n2 on b2 = n2.b, t where p.c >= 5 and p.c * big >= 5 * n1.c * n2.c",
     "p1_pairs": _BASKETS + "select b1 business_id_1, b2 business_id_2, p.c n_both, p.c::double * big / (n1.c::double * n2.c::double) lift from p join n n1 on b1 = n1.b join n n2 on b2 = n2.b, t",
     "p3_found": _SIMILAR + "select b1 business_id_1, b2 business_id_2 from r",
     "p3_pairs": _SIMILAR + "select b1 business_id_1, b2 business_id_2, n_both, similarity from r",

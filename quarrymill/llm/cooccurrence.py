@@ -44,7 +44,8 @@ def cooccurrence(rows: DataFrame, basket: str, item: str, min_both: int = 1, min
     sums = segments.mapInArrow(_gram, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n_both"))
     sums = sums.where(F.col("n_both") >= min_both)
     named = lambda c, k: items.select(code.alias(c), F.col("item").alias(f"i{k}"), F.col("n").alias(f"m{k}"))
-    pairs = sums.join(named("a", 1), "a").join(named("b", 2), "b")
+    # an item that pairs with nearly all others stays spread
+    pairs = attach(attach(sums, named("a", 1), ["a"], "inner", ["b"]), named("b", 2), ["b"], "inner", ["a"])
     swap = F.col("i1") > F.col("i2")
     either = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
     pairs = pairs.select(either("i1", "i2").alias("item_1"), either("i2", "i1").alias("item_2"), either("m1", "m2").alias("n_1"), either("m2", "m1").alias("n_2"), "n_both", F.lit(n_baskets).cast("long").alias("n_baskets"))
