@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -10,9 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quarrymill.plans.shipping import ship
+from quarrymill.plans.skew import attach
 
 #: Lengths of the hash prefixes that have a sketch each; a child of a prefix has 8 more bits.
 LEVELS = (8, 16, 24, 32, 40, 48, 56, 64)
+#: The widest sketch: 335 MB with 5 rows of counters.
+MAX_BITS = 20
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2127599BF4325C37)
 
 
@@ -60,20 +64,33 @@ class Sketch:
         return found
 
 
-def heavy_hitters(rows: DataFrame, value: str, share: float = 0.005, slack: float = 0.5, depth: int = 5, width_bits: int = 15) -> DataFrame:
+def sketch_bits(share: float, slack: float) -> int:
+    """The least width for values with `share` of the rows: three standard errors of a row of counters, sqrt(share / width)
+    of all rows once heavier values are found, within slack * share; doubled twice."""
+    if not 0 < share <= 1 or not 0 < slack < 1:
+        raise ValueError("share must lie in (0, 1], slack in (0, 1)")
+    bits = max(10, math.ceil(math.log2(36 / (slack * slack * share))))
+    if bits > MAX_BITS:
+        raise ValueError(f"a share of {share} needs counters of 2**{bits}; the least share is {36 / (slack * slack * 2**MAX_BITS):.2g}, or give width_bits")
+    return bits
+
+
+def heavy_hitters(rows: DataFrame, value: str, share: float = 0.005, slack: float = 0.5, depth: int = 5, width_bits: int | None = None) -> DataFrame:
     """Values holding at least `share` of all non-null rows: `value`, approx_count, count.
 
     First scan: every task adds the 64-bit hashes of its values to a count-sketch for each prefix length
     in LEVELS (signed counters in `depth` rows); the sketches, of fixed size, are summed. The driver then
     descends from the root through the prefixes whose estimated count is at least slack * share of all rows,
     so at most about 1 / (slack * share) of them a level. Second scan: exact counts of the candidates only,
-    which decide. Memory in any place is 8 * levels * depth * 2**width_bits bytes (10 MB by default), however
-    many distinct values there are.
+    which decide. Memory in any place is 8 * levels * depth * 2**width_bits bytes (10 MB at a share of 0.005),
+    however many distinct values there are. The width follows `share`, see sketch_bits; a share too small for
+    MAX_BITS raises a ValueError before anything is read.
 
     A value with at least `share` of the rows is missed only if its estimate falls short by the factor
     `slack` at some level: the median of `depth` rows, each off by about sqrt(F2 of the light values / width).
     Nulls are not counted. Ties all appear. An empty table gives no row. Other columns are not used.
     """
+    width_bits = sketch_bits(share, slack) if width_bits is None else width_bits
     values = rows.select(F.col(value).alias("v")).where("v is not null").withColumn("h", F.xxhash64("v"))
     sketch, total = build_sketch(values.select("h"), depth, width_bits)
     if not total:
@@ -81,8 +98,8 @@ def heavy_hitters(rows: DataFrame, value: str, share: float = 0.005, slack: floa
     codes = sketch.heavy(slack * share * total)
     approx = sketch.estimate(len(LEVELS) - 1, codes)
     known = rows.sparkSession.createDataFrame([(int(c), int(a)) for c, a in zip(codes.view(np.int64), approx)], "h long, approx_count long")
-    # at most about 1 / (slack * share) rows by construction
-    counted = values.join(F.broadcast(known), "h").groupBy("v", "approx_count").agg(F.count("*").alias("count"))
+    # about 1 / (slack * share) rows; attach measures them before it broadcasts
+    counted = attach(values, known, ["h"], "inner", ["v"]).groupBy("v", "approx_count").agg(F.count("*").alias("count"))
     return counted.where(F.col("count") >= F.lit(share) * F.lit(total)).select(F.col("v").alias(value), "approx_count", "count")
 
 

@@ -103,6 +103,19 @@ def test_hypergeometric_beyond_numpy():
     assert abs(np.mean(draws) - 15) < 0.4 and sa.hypergeometric(5, 0, 3, rng) == 3 and sa.hypergeometric(0, 5, 3, rng) == 0
 
 
+def test_hypergeometric_in_portions_keeps_the_variance():
+    rng = np.random.default_rng(2)
+    draws = np.array([sa.hypergeometric(2 * 10**9, 2 * 10**9, 100, rng, at_once=7) for _ in range(3000)])
+    assert abs(draws.mean() - 50) < 0.5 and abs(draws.var() - 25) < 2.5
+    assert sum(sa.split(10**6, [10**9] * 5, rng)) == 10**6 and sa.split(9, [2, 3], rng) == [2, 3]
+
+
+def test_a_sample_larger_than_a_leaf(spark):
+    df = spark.createDataFrame(pieces(600), PIECES)
+    got = rows(sa.fixed_size_sample(df, "piece", ["id"], 450, seed=4, leaf_rows=40).select("id"))
+    assert len(set(got)) == 450
+
+
 def brute_similar(data, threshold, min_items):
     sets = {}
     for r, i, *_ in data:
@@ -166,3 +179,12 @@ def test_sketch_finds_what_a_third_of_rows_hides():
         sketch.add(part)
     found = set(sketch.heavy(0.5 * 0.005 * (len(light) + len(heavy) + len(third))).tolist())
     assert set(heavy.tolist()) | {12345} <= found and len(found) < 400
+
+
+def test_the_sketch_is_as_wide_as_the_share_needs(spark):
+    assert hh.sketch_bits(0.005, 0.5) == 15 and hh.sketch_bits(0.001, 0.5) == 18
+    df = spark.createDataFrame([("a",)], "v string")
+    for share in (1e-6, 0, 2):
+        with pytest.raises(ValueError):
+            hh.heavy_hitters(df, "v", share=share)
+    assert rows(hh.heavy_hitters(df, "v", share=1.0)) == [("a", 1, 1)]
