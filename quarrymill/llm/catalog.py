@@ -15,7 +15,7 @@ from quarrymill.llm.packing import pack_documents
 from quarrymill.llm.sampling import fixed_size_sample
 from quarrymill.llm.set_join import similar_sets
 from quarrymill.llm.stuffing import stuffed_pages
-from quarrymill.operators.text_profiles import rounded, term_counts
+from quarrymill.operators.text_profiles import counted_terms, rounded
 from quarrymill.plans.storage import materialize
 from quarrymill.sources.tables import counted_reviews, counted_tags, table, visits
 
@@ -68,9 +68,8 @@ def p4_counts(spark: SparkSession, folder: str) -> DataFrame:
 def review_words(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
     """(business_id, word, f) of the counted reviews with a business and a text, and the number of these reviews."""
     texts = counted_reviews(table(spark, folder, "review"), "business_id", "text").where("business_id is not null and text is not null")
-    plain = counted_reviews(table(spark, folder, "review").withColumn("has_text", F.expr("text is not null")), "business_id", "has_text")
     words = texts.select("business_id", letters_only_words("text").alias("words"))
-    return term_counts(words, "business_id", "words", table(spark, folder, "stopword")), plain.where("business_id is not null and has_text").count()
+    return counted_terms(words, "business_id", "words", table(spark, folder, "stopword"))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -19,9 +19,9 @@ def distinctive_terms(counts: DataFrame, record: str, n_docs: int, min_f: int =
 
     min_f drops terms from the result only; lengths, maxima and d count all terms. `top` keeps the highest
     scores of a record, equal ones by word. Nulls in record or word are ignored; a record without words gives
-    nothing; an empty table gives nothing. Result: record, word, f, d, score.
+    nothing; an empty table gives nothing. counts is read several times and should be a written table. Result: record, word, f, d, score.
     """
-    counts = materialize(counts.dropna(subset=[record, "word"]).select(record, "word", "f"), "term-counts")
+    counts = counts.dropna(subset=[record, "word"]).select(record, "word", "f")
     size = {"max": F.max("f").cast("double"), "length": F.sum("f").cast("double"), "l2": F.sqrt(F.sum(F.col("f") * F.col("f")).cast("double"))}[norm]
     sizes = counts.groupBy(record).agg(size.alias("size"))
     kept = counts.where(F.col("f") >= min_f)
