@@ -3,31 +3,56 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from quarrymill.plans.shipping import ship
+from quarrymill.plans.storage import materialize
 
-#: Pieces that a worker packs together; more of them gain little, fewer leave more last bins half full.
+#: Documents that are packed together, about; more of them gain little, fewer leave more last bins half full.
 WINDOW = 50_000
+#: White space from so many characters on is encoded past the splitting pattern, which cannot take a million.
+LONG_BLANK = 50_000
 #: Fixed value: the splitting pattern of the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Fixed value: the name of its file.
+VOCABULARY = "byte_bpe_50k.tiktoken"
 PACKED = "container string, doc_id long, piece int, token_from long, tokens long, at long"
 
 
-def token_counter(folder: str, vocabulary: str = "byte_bpe_50k.tiktoken") -> Callable[[list[str]], list[int]]:
-    """A function from texts to their numbers of tokens, by a public byte-level vocabulary in `folder`."""
+def token_counter(vocabulary: str | Path | bytes, long_blank: int = LONG_BLANK) -> Callable[[list[str]], list[int]]:
+    """A function from texts to their numbers of tokens, by a public byte-level vocabulary: the file or what it holds.
+
+    The cost grows with the length of a text, also of one without a space. A long run of white space is a piece
+    of its own but for its last character, which belongs to what follows, so it is cut off and encoded apart.
+    """
     import tiktoken
 
-    with (Path(folder) / vocabulary).open("rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    lines = vocabulary if isinstance(vocabulary, bytes) else _file(vocabulary).read_bytes()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}
     encoding = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda texts: [len(encoding.encode_ordinary(t)) for t in texts]
+    blank = re.compile(r"[^\S\x1c-\x1f]{%d,}" % long_blank)
+
+    def count(text: str) -> int:
+        n, at = 0, 0
+        for run in blank.finditer(text) if len(text) >= long_blank else ():
+            end = run.end() - (run.end() < len(text))
+            n += len(encoding.encode_ordinary(text[at : run.start()])) + len(encoding._encode_single_piece(text[run.start() : end]))
+            at = end
+        return n + len(encoding.encode_ordinary(text[at:]))
+
+    return lambda texts: [count(t) for t in texts]
+
+
+def _file(vocabulary: str | Path) -> Path:
+    """The vocabulary itself, or the one used by default in a folder of them."""
+    path = Path(vocabulary)
+    return path / VOCABULARY if path.is_dir() else path
 
 
 def pack_sizes(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,44 +97,63 @@ def _place(items: np.ndarray, slots: np.ndarray, sizes: np.ndarray, bins: np.nda
     np.subtract.at(free, slots, s)
 
 
-def pack_documents(docs: DataFrame, folder: str, vocabulary: str = "byte_bpe_50k.tiktoken", capacity: int = 2048, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """Assign documents, measured in tokens, to containers of `capacity` tokens, in one pass without a shuffle.
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+    """Assign documents, measured in tokens, to containers of `capacity` tokens.
 
-    Each task counts tokens and packs its own documents, `window` pieces at a time (see pack_sizes). A text
-    of more than `capacity` tokens is cut into full pieces, which fill a container each, and a rest; no
-    other is cut. Null and blank texts take no place and give no row; a null doc_id is packed like any
-    other. Each row of a repeated doc_id is packed. Other columns are not used; an empty table gives no row.
+    Tokens are counted where the texts lie; only (id, tokens) travel, to groups of about `window` documents by
+    a hash of id and text, and each group is packed by itself (see pack_sizes). So neither the partitioning
+    nor the number of workers changes a container. A text of more than `capacity` tokens is cut into full
+    pieces, which fill a container each, and a rest; no other is cut. Null and blank texts take no place and
+    give no row; a null doc_id is packed like any other. Each row of a repeated doc_id is packed. Other
+    columns are not used; an empty table gives no row.
 
-    Result, one row for each piece: container, doc_id, piece (from 0), token_from in the document, tokens,
-    at (offset in the container).
+    `vocabulary` is a file of ranks, or a folder with the default one; it is read once, here, and sent to the
+    tasks. Result, one row for each piece: container, doc_id, piece (from 0), token_from in the document,
+    tokens, at (offset in the container).
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, part, turn = token_counter(folder, vocabulary), TaskContext.get().partitionId(), 0
-        ids: list[int | None] = []
-        tokens: list[int] = []
-        for batch in batches:
-            kept = [(d, t) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t and not t.isspace()]
-            ids += [d for d, _ in kept]
-            tokens += count([t for _, t in kept])
-            if len(ids) >= window:
-                yield from _packed(ids, tokens, capacity, f"{part}-{turn}")
-                ids, tokens, turn = [], [], turn + 1
-        if ids:
-            yield from _packed(ids, tokens, capacity, f"{part}-{turn}")
-
-    ship(docs.sparkSession)
-    return docs.select(doc_id, text).mapInArrow(run, PACKED)
-
-
-def _packed(ids: list[int | None], tokens: list[int], capacity: int, name: str) -> Iterator[pa.RecordBatch]:
-    n = np.array(tokens, np.int64)
+    spark = docs.sparkSession
+    ship(spark)
+    ranks = spark.sparkContext.broadcast(_file(vocabulary).read_bytes())  # one vocabulary: some MB
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = token_counter(ranks.value)
+        for b in batches:
+            texts = b.column(2).to_pylist()
+            full = np.array([bool(t) and not t.isspace() for t in texts], bool)
+            kept = b.filter(pa.array(full))
+            tokens = count([t for t, f in zip(texts, full) if f])
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(tokens, pa.int64())], ["doc_id", "h", "tokens"])
+
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("h"), F.col(text).alias("text"))
+    sizes = materialize(rows.mapInArrow(measure, "doc_id long, h long, tokens long"), "token-counts")
+    groups = max(1, -(-sizes.count() // window))
+    grouped = sizes.withColumn("g", F.pmod(F.xxhash64("h"), F.lit(groups))).repartition("g").sortWithinPartitions("g", "h", "doc_id", "tokens")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            g = np.asarray(b.column("g"))
+            cuts = [0, *(np.flatnonzero(np.diff(g)) + 1).tolist(), len(g)]
+            for start, end in zip(cuts, cuts[1:]):
+                if held and held[0].column("g")[0].as_py() != g[start]:
+                    yield from _packed(pa.Table.from_batches(held), capacity)
+                    held = []
+                if end > start:
+                    held.append(b.slice(start, end - start))
+        if held:
+            yield from _packed(pa.Table.from_batches(held), capacity)
+
+    return grouped.mapInArrow(pack, PACKED)
+
+
+def _packed(group: pa.Table, capacity: int) -> Iterator[pa.RecordBatch]:
+    n, ids, name = group.column("tokens").to_numpy(), group.column("doc_id").combine_chunks(), group.column("g")[0].as_py()
     pieces = -(-n // capacity)
     doc = np.repeat(np.arange(len(n)), pieces)
     piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     size = np.minimum(capacity, n[doc] - piece * capacity)
     bins, at = pack_sizes(size, capacity)
-    columns = [pa.array([f"{name}-{b}" for b in bins]), pa.array([ids[d] for d in doc], pa.int64()), pa.array(piece, pa.int32()), pa.array(piece * capacity), pa.array(size), pa.array(at)]
+    columns = [pa.array([f"{name}-{b}" for b in bins]), ids.take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(piece * capacity), pa.array(size), pa.array(at)]
     whole = pa.RecordBatch.from_arrays(columns, ["container", "doc_id", "piece", "token_from", "tokens", "at"])
     for k in range(0, len(whole), 10_000):
         yield whole.slice(k, 10_000)

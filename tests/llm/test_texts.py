@@ -61,6 +61,23 @@ def test_documents_are_packed_whole(spark):
     assert rows(pk.pack_documents(df.limit(0), FOLDER)) == []
 
 
+def test_containers_do_not_depend_on_the_partitioning(spark):
+    draw = random.Random(5)
+    data = [(k, "word " * draw.choice([3, 40, 500, 3000])) for k in range(120)] + [(3, "again")] * 4 + [(None, "x")] * 3
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    one, other = (sorted(map(str, pk.pack_documents(d, FOLDER, window=30).collect())) for d in (df.coalesce(1), df.repartition(7)))
+    assert one == other and len({r.split("'")[1].split("-")[0] for r in one}) > 2
+
+
+def test_long_white_space_is_counted_exactly():
+    plain, cut = pk.token_counter(FOLDER, 10**9), pk.token_counter(FOLDER, 4)
+    draw = random.Random(6)
+    texts = ["".join(draw.choice(["a", "it's", " ", "  ", "\n\n\n", "\t", "\u3000", "\x1c", "7", "!?", "é"]) for _ in range(60)) for _ in range(300)]
+    texts += [" " * 9, "x" + " " * 9, " " * 9 + "x", "\x1c" * 9 + "x", "\n" * 5 + "  !"]
+    assert cut(texts) == plain(texts)
+    assert pk.token_counter(FOLDER)(["a" + " " * 2_000_000 + "b"])[0] > 1000  # beyond what the pattern takes
+
+
 def align(a, b):
     h, best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)], 0
     for i in range(1, len(a) + 1):
