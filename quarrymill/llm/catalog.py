@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quarrymill.functions.text import letters_only_words
 from quarrymill.llm.contamination import RUN, leaked_items
@@ -42,6 +42,13 @@ def p2_sample(spark: SparkSession, folder: str) -> DataFrame:
     return fixed_size_sample(tags, "batch_no", ["tweet_id", "pos"], k=100, seed=7)
 
 
+def p2_size(spark: SparkSession, folder: str) -> DataFrame:
+    """How many different, true occurrences the sample has, with the tags they should have."""
+    sample = p2_sample(spark, folder).select("tweet_id", "pos", "tag").distinct()
+    tags = counted_tags(table(spark, folder, "tweet")).select("tweet_id", "pos", F.col("tag").alias("true_tag"))
+    return sample.join(tags, ["tweet_id", "pos"]).where("tag = true_tag").agg(F.count("*").alias("occurrences"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of businesses whose sets of users overlap at 0.5 or more."""
     return p3_pairs(spark, folder).select("business_id_1", "business_id_2")
@@ -90,6 +97,16 @@ def p7_pack(spark: SparkSession, folder: str, tokenizers: str = TOKENIZERS) -> D
     return pack_documents(table(spark, folder, "documents"), tokenizers, capacity=2048)
 
 
+def p7_filled(spark: SparkSession, folder: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """Of every packed document, whether its pieces are numbered and cut as they should be, and whether each of their
+    containers is within 2,048 tokens without an overlap."""
+    packed = materialize(p7_pack(spark, folder, tokenizers), "packed")
+    after = Window.partitionBy("container").orderBy("at", "doc_id", "piece")
+    placed = packed.withColumn("next", F.lead("at").over(after)).withColumn("fits", F.expr("at >= 0 and at + tokens <= coalesce(next, 2048) and tokens > 0"))
+    whole = F.expr("max(piece) = count(*) - 1 and max(token_from + tokens) = sum(tokens) and count_if(tokens < 2048) <= 1 and max(token_from) = max(piece) * 2048")
+    return placed.groupBy("doc_id").agg(whole.alias("whole"), F.bool_and("fits").alias("within"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents holding 12 consecutive words of an item, or the whole of a shorter one."""
     leaks = p8_leaks(spark, folder).where(F.col("run") >= F.least(F.lit(RUN), "item_words"))
@@ -111,7 +128,7 @@ def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
     return stuffed_pages(table(spark, folder, "documents"), table(spark, folder, "page_label"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_sample, p3_found, p3_pairs, p4_found, p4_counts, p5_found, p5_scores, p7_pack, p8_found, p8_leaks, p9_found, p9_scores)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_sample, p2_size, p3_found, p3_pairs, p4_found, p4_counts, p5_found, p5_scores, p7_pack, p7_filled, p8_found, p8_leaks, p9_found, p9_scores)}
 
 _BASKETS = r"""
 with v as (
@@ -164,6 +181,8 @@ d as (select distinct id doc_id, n, array_to_string(w[p : p + n - 1], ' ') g fro
 ORACLES = {
     "p1_found": _BASKETS + "select b1 business_id_1, b2 business_id_2 from p join n n1 on b1 = n1.b join n n2 on b2 = n2.b, t where p.c >= 5 and p.c * big >= 5 * n1.c * n2.c",
     "p1_pairs": _BASKETS + "select b1 business_id_1, b2 business_id_2, p.c n_both, p.c::double * big / (n1.c::double * n2.c::double) lift from p join n n1 on b1 = n1.b join n n2 on b2 = n2.b, t",
+    "p2_size": _TAGS + 'select least(100, coalesce(sum("count"), 0))::bigint occurrences from c',
+    "p7_filled": "select doc_id, true whole, true \"within\" from documents where regexp_matches(text, '[^\\s]')",
     "p3_found": _SIMILAR + "select b1 business_id_1, b2 business_id_2 from r",
     "p3_pairs": _SIMILAR + "select b1 business_id_1, b2 business_id_2, n_both, similarity from r",
     "p4_found": _TAGS + 'select tag from c where "count" >= 0.005 * (select sum("count") from c)',
