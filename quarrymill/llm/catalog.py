@@ -118,6 +118,28 @@ def p8_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_item"))
 
 
+#: One word in so many is changed.
+EDITS = (5, 6, 8, 12)
+
+
+def p8_edited(spark: SparkSession, folder: str) -> DataFrame:
+    """Edited copies of every item, planted in the middle of other text: how many there are and how many are found.
+
+    A copy of rate r has every r-th word changed, which leaves no run of 12 words. Only the pairs of a copy and
+    its own item are counted.
+    """
+    items = table(spark, folder, "eval_item").select("item_id", F.expr(r"regexp_extract_all(lower(regexp_replace(text, '<[^>]*>', ' ')), '[a-z0-9]+', 0)").alias("w"))
+    items = items.where("size(w) >= 12")
+    copies = None
+    for r in EDITS:
+        words = F.expr(f"transform(w, (x, k) -> if(k % {r} = {r - 1}, concat('edited', k), x))")
+        one = items.select("item_id", F.lit(r).alias("rate"), F.concat_ws(" ", F.lit("see the opening hours and the way here "), F.array_join(words, " "), F.lit(" more about this place on the next page")).alias("text"))
+        copies = one if copies is None else copies.unionByName(one)
+    copies = materialize(copies.withColumn("doc_id", F.col("item_id") * 100 + F.col("rate")), "edited-copies")
+    found = leaked_items(copies, table(spark, folder, "eval_item")).select("doc_id", "item_id", F.lit(1).alias("hit"))
+    return copies.join(found, ["doc_id", "item_id"], "left").groupBy("rate").agg(F.count("*").alias("copies"), F.count("hit").alias("found"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents more than half of whose words are keyword repetition or lists."""
     return p9_scores(spark, folder).where("2 * stuffed_words > words").select("doc_id")
@@ -128,7 +150,7 @@ def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
     return stuffed_pages(table(spark, folder, "documents"), table(spark, folder, "page_label"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_sample, p2_size, p3_found, p3_pairs, p4_found, p4_counts, p5_found, p5_scores, p7_pack, p7_filled, p8_found, p8_leaks, p9_found, p9_scores)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_sample, p2_size, p3_found, p3_pairs, p4_found, p4_counts, p5_found, p5_scores, p7_pack, p7_filled, p8_found, p8_leaks, p8_edited, p9_found, p9_scores)}
 
 _BASKETS = r"""
 with v as (
@@ -191,5 +213,6 @@ ORACLES = {
   select b, word, f / fmax * log2(m / d) score from tf join df using (word) join sz using (b), m where f >= 5)
 qualify row_number() over (partition by b order by score desc, word) <= 3""",
     "p5_scores": _WORDS + "select b business_id, word, f, d, floor(f / norm * log2(m / d + 1) * 1e6 + 0.5) / 1e6 score from tf join df using (word) join sz using (b), m",
+    "p8_edited": _RUNS + f"select r::int rate, count(*) copies, count(*) found from w, (values {', '.join(f'({r})' for r in EDITS)}) e(r) where not is_doc and len(w) >= 12 group by 1",
     "p8_found": _RUNS + "select distinct doc_id, item_id from d join g using (n, g)",
 }

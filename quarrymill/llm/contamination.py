@@ -18,8 +18,8 @@ RUN = 12
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Items are searched in blocks of about so many words; the corpus is read once for each block.
 BLOCK_WORDS = 2_000_000
-#: Alignments computed side by side.
-ALIGN_AT_ONCE = 128
+#: Alignments computed side by side: so many cases, or fewer of longer items, by the words of the longest one.
+ALIGN_AT_ONCE, WORDS_AT_ONCE = 128, 1 << 15
 _TAG, _WORD = re.compile("<[^>]*>"), re.compile("[a-z0-9]+")
 FOUND = "doc_id long, item_id long, run int, score int, item_words int, doc_from int, doc_to int"
 
@@ -113,7 +113,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_
        least score; all others cannot reach it.
     3. These passages are aligned with the item by Smith-Waterman (match 2, mismatch -1, gap -1).
     A pair is kept with run >= min(12, words of the item), or a score of at least min_share of the item's
-    best possible one. No exact run of 12 words is missed, and no edited copy that keeps an n-gram.
+    best possible one. No exact run of 12 words is missed, and no edited copy that keeps an n-gram; one with
+    every fourth word changed keeps none.
 
     Items are taken in blocks of `block_words` words, each with a pass of its own, so the part of the items
     that travels to the tasks is bounded. Null, blank and word-less texts match nothing; null ids are left
@@ -170,8 +171,14 @@ def _block_leaks(docs: DataFrame, items: Items, min_share: float) -> DataFrame:
 
 
 def _aligned(cases: list[tuple], min_share: float) -> list[tuple]:
-    scores = smith_waterman([c[3] for c in cases], [c[4] for c in cases]) if cases else []
-    return [(d, i, run, score, len(item), lo, hi) for (d, i, run, item, _, lo, hi), score in zip(cases, scores) if run >= min(RUN, len(item)) or score >= min_share * MATCH * len(item)]
+    cases, rows, start = sorted(cases, key=lambda c: len(c[3])), [], 0
+    for k in range(1, len(cases) + 1):
+        if k == len(cases) or (k - start + 1) * len(cases[k][3]) > WORDS_AT_ONCE:
+            part = cases[start:k]
+            start = k
+            scores = smith_waterman([c[3] for c in part], [c[4] for c in part])
+            rows += [(d, i, run, score, len(item), lo, hi) for (d, i, run, item, _, lo, hi), score in zip(part, scores) if run >= min(RUN, len(item)) or score >= min_share * MATCH * len(item)]
+    return rows
 
 
 def _cases(doc_id: int, doc: np.ndarray, items: Items, min_share: float) -> Iterator[tuple]:
@@ -222,18 +229,19 @@ def smith_waterman(items: list[np.ndarray], passages: list[np.ndarray]) -> list[
         x[k, : len(a)] = a
         y[k, : len(b)] = b
     back = y[:, ::-1]
-    best = np.zeros(len(items), np.int16)
+    kind = np.int16 if MATCH * min(m, n) < 2**15 - 8 else np.int32  # no score is larger than that of the shorter side
+    best = np.zeros(len(items), kind)
     # on anti-diagonal d, index i stands for cell (i, d - i), borders included
-    before = np.zeros((len(items), m + 1), np.int16)
-    last = np.zeros((len(items), m + 1), np.int16)
+    before = np.zeros((len(items), m + 1), kind)
+    last = np.zeros((len(items), m + 1), kind)
     for d in range(2, m + n + 1):
         lo, hi = max(1, d - n), min(m, d - 1)
         i = slice(lo, hi + 1)
         up = slice(lo - 1, hi)
         # y index d - i - 1 for i = lo..hi, reversed: n - d + i
         same = x[:, lo - 1 : hi] == back[:, n - d + lo : n - d + hi + 1]
-        cell = before[:, up] + np.where(same, MATCH, MISMATCH).astype(np.int16)
-        np.maximum(cell, np.maximum(last[:, up], last[:, i]) + np.int16(GAP), out=cell)
+        cell = before[:, up] + np.where(same, MATCH, MISMATCH).astype(kind)
+        np.maximum(cell, np.maximum(last[:, up], last[:, i]) + kind(GAP), out=cell)
         np.maximum(cell, 0, out=cell)
         new = np.zeros_like(last)
         new[:, i] = cell

@@ -94,6 +94,49 @@ def test_alignment_scores_equal_the_plain_table():
     assert ct.smith_waterman(a, b) == [align(x, y) for x, y in zip(a, b)]
 
 
+def test_scores_of_very_long_items():
+    a = np.arange(20_000, dtype=np.int32)
+    edited = a.copy()
+    edited[9::10] = -1
+    assert ct.smith_waterman([a], [a]) == [40_000] and ct.smith_waterman([a], [edited]) == [2 * 18_000 - 1999]
+
+
+def test_a_long_edited_copy_is_found_beside_short_items(spark):
+    words = [f"a{k}" for k in range(22_000)]
+    edited = " ".join("changed" if k % 7 == 6 else w for k, w in enumerate(words))
+    items = spark.createDataFrame([(1, " ".join(words)), (2, "one short item of seven words only")], "item_id long, text string")
+    docs = spark.createDataFrame([(5, "before " + edited + " one short item of seven words only")], "doc_id long, text string")
+    got = {r["item_id"]: (r["run"], r["score"]) for r in ct.leaked_items(docs, items).collect()}
+    assert got[2] == (7, 14) and got[1][0] == 6 and got[1][1] > 33_000
+
+
+def test_recall_of_random_edits(spark):
+    """Words changed, dropped or put in at random, at several rates; planted among other text."""
+    draw = random.Random(11)
+    vocabulary = [f"v{k}" for k in range(400)]
+    items = {i: [draw.choice(vocabulary) for _ in range(draw.randrange(20, 120))] for i in range(60)}
+    docs, rates = [], {}
+    for rate in (0.05, 0.1, 0.15, 0.2):
+        for i, w in items.items():
+            out = []
+            for x in w:
+                kind = draw.random()
+                if kind < rate / 2:
+                    out.append("changed")
+                elif kind < 0.75 * rate:
+                    out += [x, "added"]
+                elif kind >= rate:
+                    out.append(x)
+            rates[len(docs)] = (rate, i)
+            docs.append((len(docs), " ".join([draw.choice(vocabulary) for _ in range(50)] + out + [draw.choice(vocabulary) for _ in range(50)])))
+    got = ct.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string"))
+    pairs = {(r["doc_id"], r["item_id"]) for r in got.collect()}
+    for rate in (0.05, 0.1, 0.15, 0.2):
+        own = [d for d, (r, _) in rates.items() if r == rate]
+        assert sum((d, rates[d][1]) in pairs for d in own) / len(own) >= 0.9, rate
+    assert len(pairs) <= len(docs)  # nothing else
+
+
 def test_longest_run():
     item, doc = np.arange(6), np.array([9, 1, 2, 3, 9, 5])
     assert ct.longest_run(item, doc, 0) == 3 and ct.longest_run(item, doc, 100) == 0 and ct.longest_run(item, doc, -5) == 0
