@@ -8,9 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from quarrymill.plans.shipping import ship
+from quarrymill.plans.skew import attach_counts
 from quarrymill.plans.storage import materialize
 
 #: Marks of a word, in the low bits of its code.
@@ -22,6 +23,8 @@ VOCABULARY = 4096
 AROUND = 10
 #: At most so many labelled documents are used to fit the weights, the first by a hash of doc_id.
 LABELLED = 2000
+#: Tasks among which the labelled documents are divided.
+SAMPLE_TASKS = 32
 #: Words of a labelled document that enter the fit, evenly spread.
 PER_DOCUMENT = 24
 #: Words whose features are computed at once.
@@ -167,8 +170,9 @@ class Weights:
     ordinary documents that look stuffed, and whole documents that contradict their label.
     """
 
-    def __init__(self, documents: list[np.ndarray], stuffed: list[bool], rounds: int = 3):
+    def __init__(self, documents: list[np.ndarray], stuffed: list[bool], rounds: int = 3, only: tuple[int, ...] | None = None):
         x = np.vstack(documents).astype(np.float64)
+        self.used = np.isin(np.arange(FEATURES), only) if only is not None else np.ones(FEATURES, bool)
         size = np.array([len(d) for d in documents])
         doc = np.repeat(np.arange(len(documents)), size)
         y = np.array(stuffed)[doc].astype(float)
@@ -189,7 +193,7 @@ class Weights:
         self.square[np.triu_indices(FEATURES)] = w[FEATURES + 1 :]
 
     def _scaled(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -5, 5)
+        return np.clip((x - self.mean) / self.scale, -5, 5) * self.used
 
     def stuffed_words(self, features: np.ndarray) -> np.ndarray:
         out = np.zeros(len(features), bool)
@@ -221,22 +225,24 @@ def _logistic(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return w
 
 
-def stuffed_pages(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "label", stuffed: str = "stuffed", vocabulary: int = VOCABULARY, labelled: int = LABELLED) -> DataFrame:
+def stuffed_pages(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "label", stuffed: str = "stuffed", vocabulary: int = VOCABULARY, labelled: int = LABELLED, only: tuple[int, ...] | None = None) -> DataFrame:
     """Of each document, how many of its white-space-separated words stand in keyword repetition, word salad or lists.
 
     1. One pass over the texts writes their words as codes (hash and marks).
     2. Every word and every pair of neighbouring words is counted over the whole corpus. Pairs of the
        `vocabulary` most used words: every task counts those of its documents in a table of that fixed size,
        and the tables are summed. All other words and pairs, each of them seldom: rows of (key, document),
-       summed by key and brought back to the documents that hold them. So `vocabulary` decides where a pair
-       is counted, not its count.
+       summed by key, map-side first, and brought back to the documents that hold them, those of keys that
+       very many documents hold apart from the others. So `vocabulary` decides where a pair is counted, not
+       its count.
     3. Each word gets the mean pointwise mutual information of the pairs around it, the excess of repeated
        pairs over their corpus rate, and further means (word_features); from weights fitted on labelled
        documents it is judged stuffed or not. Word salad and lists lack the coherence of sentences, repeated
        phrases have too much of it.
     The fit uses at most `labelled` documents, chosen by a hash of doc_id; a document with labels of both
     kinds counts as the more frequent, a tie as not stuffed. Counts and scores cover every document whole.
-    Without labels of both kinds a fixed rule on mutual information, repetition and links stands in.
+    Without labels of both kinds a fixed rule on mutual information, repetition and links stands in. `only` names
+    the features to use, all by default; (0, 1, 2, 3) are mutual information and repeated pairs alone.
 
     Null, blank texts and null ids give no row; repeated rows of an id give one row, the one with most words
     (then the larger share); other columns are not used; an empty table gives no row.
@@ -251,17 +257,20 @@ def stuffed_pages(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     corpus = Corpus(np.array([r["h"] for r in top], np.int64))
     corpus.finish(_pair_table(coded, corpus), words.count())
     shared = spark.sparkContext.broadcast(corpus)  # of a fixed size, given by `vocabulary`
-    held = coded.mapInArrow(_outside(shared), "doc_id long, key long, n long")
-    held = held.select("doc_id", F.struct("key", F.sum("n").over(Window.partitionBy("key")).alias("count")).alias("k"))
+    held = materialize(coded.mapInArrow(_outside(shared), "doc_id long, key long, n long"), "outside-keys")
+    sums = materialize(held.groupBy("key").agg(F.sum("n").alias("count"), F.count("*").alias("docs")), "outside-sums")
+    held = attach_counts(held.select("doc_id", "key"), sums, "key", "docs", ["doc_id"]).select("doc_id", F.struct("key", "count").alias("k"))
     outside = materialize(held.groupBy("doc_id").agg(F.collect_list("k").alias("k")).select("doc_id", F.col("k.key").alias("keys"), F.col("k.count").alias("counts")), "outside-counts")
     empty = F.array().cast("array<bigint>")
     counted = lambda df: df.join(outside, "doc_id", "left").withColumns({k: F.coalesce(k, empty) for k in ("keys", "counts")})
     chosen = labels.select(F.col(doc_id).alias("doc_id"), (F.col(label) == stuffed).alias("s")).dropna().groupBy("doc_id").agg(F.avg(F.col("s").cast("int")).alias("s"))
     chosen = coded.join(chosen, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
-    samples = counted(chosen).orderBy(F.xxhash64("doc_id"), "doc_id").mapInPandas(_samples(shared), "s double, x binary").collect()  # at most `labelled` rows of fixed size
+    spread = counted(chosen).repartition(SAMPLE_TASKS, "doc_id")
+    samples = spread.mapInPandas(_samples(shared), "doc_id long, s double, x binary").collect()  # at most `labelled` rows of fixed size
+    samples.sort(key=lambda r: (r["doc_id"], r["x"]))
     kinds = [r["s"] > 0.5 for r in samples]
     features = [np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES) for r in samples]
-    judge = spark.sparkContext.broadcast(Weights(features, kinds) if len(set(kinds)) == 2 else Rule())
+    judge = spark.sparkContext.broadcast(Weights(features, kinds, only=only) if len(set(kinds)) == 2 else Rule())
     scored = counted(coded).mapInPandas(_scores(shared, judge), "doc_id long, words long, stuffed_words long, mean_pmi double")
     best = F.max(F.struct("words", "stuffed_words", "mean_pmi")).alias("b")
     return scored.groupBy("doc_id").agg(best).select("doc_id", "b.*")
@@ -369,7 +378,7 @@ def _samples(corpus):
                 x = word_features(codes, np.array([len(codes)]), corpus.value, _lookup([keys], [counts]))
                 at = np.linspace(0, len(x) - 1, min(len(x), PER_DOCUMENT)).astype(int)
                 out.append(np.ascontiguousarray(x[at]).tobytes())
-            yield pd.DataFrame({"s": pdf["s"], "x": out})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "s": pdf["s"], "x": out})
 
     return run
 

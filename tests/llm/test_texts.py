@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.llm import contamination as ct, packing as pk, stuffing as sf
 from quarrymill.llm.distinctive_terms import distinctive_terms
+from quarrymill.plans import skew
 from tests.conftest import rows
 
 FOLDER = "/opt/tokenizers"
@@ -230,6 +231,23 @@ def test_held_out_pages_are_told_apart(spark):
     assert len(got) == 400 and sum(right) / len(right) > 0.97
 
 
+def test_mutual_information_and_repeated_pairs_alone_tell_most_apart(spark):
+    data = corpus(6, 400)
+    docs = spark.createDataFrame([(k, t) for k, t, _ in data], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, "stuffed" if s else "ordinary") for k, _, s in data[:200]], "doc_id long, label string")
+    got = {r["doc_id"]: 2 * r["stuffed_words"] > r["words"] for r in sf.stuffed_pages(docs, labels, only=(0, 1, 2, 3)).collect()}
+    assert sum(got[k] == s for k, _, s in data[200:]) / 200 > 0.9
+
+
+def test_keys_of_very_many_documents_are_brought_back_apart(spark, monkeypatch):
+    draw = random.Random(8)
+    docs = spark.createDataFrame([(k, prose(draw, 6) + " closing words") for k in range(40)], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, label string")
+    plain = rows(sf.stuffed_pages(docs, none, vocabulary=3))
+    monkeypatch.setattr(skew.attach_counts, "__defaults__", (5,))
+    assert rows(sf.stuffed_pages(docs, none, vocabulary=3)) == plain
+
+
 def test_pages_without_labels_nulls_and_long_texts(spark):
     draw = random.Random(3)
     data = [(1, None), (2, "  \n"), (3, ""), (4, "one"), (5, prose(draw, 10_000)), (6, "cheap soup near me " * 50), (None, "x y"), (7, "short"), (7, "a longer version")]
