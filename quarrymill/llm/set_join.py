@@ -98,7 +98,7 @@ def needed(threshold: float):
     return F.ceil((F.col("n_p") + F.col("n_s")) * F.lit(threshold / (1 + threshold)) - 1e-9)
 
 
-def similar_classes(rows: DataFrame, record: str, item: str, threshold: float = 0.5, min_items: int = 1, pivot_share: int = 16, max_array: int = ARRAY_ITEMS) -> tuple[DataFrame, DataFrame]:
+def similar_classes(rows: DataFrame, record: str, item: str, threshold: float = 0.5, min_items: int = 1, pivot_share: int = 4, max_array: int = ARRAY_ITEMS) -> tuple[DataFrame, DataFrame]:
     """Pairs of different sets with Jaccard similarity >= threshold, and the classes of equal sets.
 
     With tau = 1 - threshold and rho = min(tau, threshold) / 2, the largest radius of a cell:
@@ -142,7 +142,7 @@ def similar_classes(rows: DataFrame, record: str, item: str, threshold: float =
     return out.toDF("record_1", "record_2", "n_1", "n_2", "n_both"), sets.classes.join(sets.sizes.select(F.col("rec").alias("cls"), "n"), "cls")
 
 
-def similar_sets(rows: DataFrame, record: str, item: str, threshold: float = 0.5, min_items: int = 1, pivot_share: int = 16, max_array: int = ARRAY_ITEMS) -> DataFrame:
+def similar_sets(rows: DataFrame, record: str, item: str, threshold: float = 0.5, min_items: int = 1, pivot_share: int = 4, max_array: int = ARRAY_ITEMS) -> DataFrame:
     """All pairs of records whose item sets have Jaccard similarity >= threshold: similar_classes with every
     class written out. Use similar_classes itself where copies are many.
 
