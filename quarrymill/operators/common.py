@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quarrymill.plans.skew import attach, attach_counts, attach_rows, block_join
 from quarrymill.plans.storage import materialize
@@ -13,6 +14,35 @@ from quarrymill.plans.storage import materialize
 ARRAY_VALUES = 50_000
 
 
+def coding(different: DataFrame, column: str) -> Callable[[str], Column]:
+    """A 64-bit hash that differs between all values of a table of different ones; checked, and salted until it does."""
+    for salt in range(100):
+        if different.groupBy(F.xxhash64(column, F.lit(salt)).alias("c")).count().where("count > 1").isEmpty():
+            return lambda c: F.xxhash64(c, F.lit(salt))
+    raise ValueError("no collision-free code found")
+
+
+def encoded(rows: DataFrame, column: str) -> tuple[DataFrame, DataFrame | None]:
+    """rows with codes for a column of strings, which makes pairs of them small, and the table (code, name); rows with
+    a null there are left out. Other types stay as they are, without a table."""
+    rows = rows.where(F.col(column).isNotNull())
+    if rows.schema[column].dataType.simpleString() != "string":
+        return rows, None
+    names = materialize(rows.select(F.col(column).alias("name")).distinct(), "names")
+    code = coding(names, "name")
+    return rows.withColumn(column, code(column)), names.select(code("name").alias("code"), "name")
+
+
+def decoded(pairs: DataFrame, names: DataFrame | None) -> DataFrame:
+    """Pairs (id1, id2, ..) of codes with their names, the smaller name first."""
+    if names is None:
+        return pairs
+    rest = [c for c in pairs.columns if c not in ("id1", "id2")]
+    side = lambda k: names.select(F.col("code").alias(f"id{k}"), F.col("name").alias(f"name{k}"))
+    met = attach_rows(attach_rows(materialize(pairs, "coded-pairs"), side(1), "id1", ["id2"]), side(2), "id2", ["id1"])
+    return met.select(F.least("name1", "name2").alias("id1"), F.greatest("name1", "name2").alias("id2"), *rest)
+
+
 class Common:
     """The values of each id, ready to count those that two ids share.
 
@@ -31,8 +61,7 @@ class Common:
     def _codes(self) -> DataFrame:
         kept = attach_counts(self.held, self.sizes, "id", "n", ["value"])
         freq = materialize(kept.groupBy("value").agg(F.count("*").alias("f")).where("f > 1"), "value-counts")
-        salt = next(s for s in range(100) if freq.groupBy(F.xxhash64("value", F.lit(s)).alias("c")).count().where("count > 1").isEmpty())
-        freq = freq.select("value", "f", F.xxhash64("value", F.lit(salt)).alias("code"))
+        freq = freq.select("value", "f", coding(freq, "value")("value").alias("code"))
         return attach_counts(kept, freq, "value", "f", ["id"]).select("id", "n", "f", "code")
 
     @cached_property
@@ -103,4 +132,5 @@ class Common:
 
 def common_pairs(rows: DataFrame, ident: str, value: str, min_common: int = 1) -> DataFrame:
     """(id1 < id2, n_both): pairs of ids that share at least `min_common` distinct values."""
-    return Common(rows, ident, value, min_common).pairs()
+    coded, names = encoded(rows.select(ident, value), ident)
+    return decoded(Common(coded, ident, value, min_common).pairs(), names)

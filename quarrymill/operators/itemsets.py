@@ -44,10 +44,18 @@ def frequent_itemsets(held: DataFrame, support: int, max_k: int | None = None) -
     return levels
 
 
-def candidates(level: DataFrame, k: int) -> DataFrame:
-    """Candidates of k + 1 items from the frequent k-itemsets: joined on the first k - 1, every k-subset frequent; k >= 2."""
+def candidates(level: DataFrame, k: int, held: DataFrame | None = None) -> DataFrame:
+    """Candidates of k + 1 items from the frequent k-itemsets: joined on the first k - 1, every k-subset frequent.
+
+    For k = 1 all pairs of items would be candidates, so those of frequent items that some basket of `held`
+    has together are given.
+    """
     if k < 2:
-        raise ValueError("pairs come from the baskets, not from all pairs of items")
+        if k < 1 or held is None:
+            raise ValueError("pairs come from the baskets, not from all pairs of items")
+        seen = attach(held, level.select(F.col("i1").alias("item")), ["item"], "left_semi", ["basket"])
+        one, two = (seen.select("basket", F.col("item").alias(c)) for c in ("i1", "i2"))
+        return block_join(one, two, "basket", "i1", "i2").where("i1 < i2").select("i1", "i2").distinct()
     names = _names(k + 1)
     left = level.select(*names[:k])
     right = left.withColumnRenamed(f"i{k}", f"i{k + 1}")

@@ -38,39 +38,46 @@ def brand_baskets(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
     return held, held.select("basket").distinct().count()
 
 
-def _itemsets(spark: SparkSession, folder: str, k: int, share: float) -> list[DataFrame]:
+def brand_itemsets(spark: SparkSession, folder: str, k: int, share: float) -> list[DataFrame]:
     held, n = brand_baskets(spark, folder)
     return frequent_itemsets(held, math.ceil(share * n), k)
 
 
 def itemsets_1(spark: SparkSession, folder: str) -> DataFrame:
     """Brands in 2 % of all orders."""
-    return _itemsets(spark, folder, 1, 0.02)[0]
+    return brand_itemsets(spark, folder, 1, 0.02)[0]
 
 
 def itemsets_2(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of brands in 2 % of all orders."""
-    return _itemsets(spark, folder, 2, 0.02)[1]
+    return brand_itemsets(spark, folder, 2, 0.02)[1]
 
 
 def itemsets_3(spark: SparkSession, folder: str) -> DataFrame:
     """Triples of brands in 0.3 % of all orders."""
-    return _itemsets(spark, folder, 3, 0.003)[2]
+    return brand_itemsets(spark, folder, 3, 0.003)[2]
 
 
 def itemsets_4(spark: SparkSession, folder: str) -> DataFrame:
     """Four brands in 0.04 % of all orders."""
-    return _itemsets(spark, folder, 4, 0.0004)[3]
+    return brand_itemsets(spark, folder, 4, 0.0004)[3]
+
+
+def pair_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of brands that are each in 2 % of the orders and are together in some order."""
+    held, n = brand_baskets(spark, folder)
+    singles = frequent_itemsets(held, math.ceil(0.02 * n), 1)[0]
+    return candidates(singles, 1, held)
 
 
 def itemset_candidates(spark: SparkSession, folder: str) -> DataFrame:
     """Triples whose pairs are all in 2 % of the orders."""
-    return candidates(_itemsets(spark, folder, 2, 0.02)[1], 2)
+    return candidates(brand_itemsets(spark, folder, 2, 0.02)[1], 2)
 
 
 def itemset_report_lines(spark: SparkSession, folder: str) -> DataFrame:
     """The report of brands, pairs and triples in 0.3 % of the orders."""
-    return itemset_report(_itemsets(spark, folder, 3, 0.003))
+    return itemset_report(brand_itemsets(spark, folder, 3, 0.003))
 
 
 def itemsets_visits(spark: SparkSession, folder: str) -> DataFrame:
@@ -128,7 +135,7 @@ def business_profile(spark: SparkSession, folder: str) -> DataFrame:
     return tp.profiles(counts, "business_id", n_docs)
 
 
-def _profiles(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def content_profiles(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     of_business = materialize(business_profile(spark, folder), "business-profiles")
     seen = counted_reviews(table(spark, folder, "review"), "user_id", "business_id")
     return seen, tp.user_profiles(seen, "user_id", "business_id", of_business), of_business
@@ -136,12 +143,12 @@ def _profiles(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, D
 
 def user_profile(spark: SparkSession, folder: str) -> DataFrame:
     """The words of the businesses each user reviewed."""
-    return _profiles(spark, folder)[1]
+    return content_profiles(spark, folder)[1]
 
 
 def content_predict(spark: SparkSession, folder: str) -> DataFrame:
     """Similarity of users and businesses for the pairs of the visits."""
-    _, users, businesses = _profiles(spark, folder)
+    _, users, businesses = content_profiles(spark, folder)
     out = tp.content_predict(visits(spark, folder), "user_id", "business_id", materialize(users, "user-profiles"), businesses)
     return out.select("user_id", "business_id", tp.rounded(F.col("sim")).alias("sim"))
 
@@ -177,7 +184,7 @@ def predict_user(spark: SparkSession, folder: str) -> DataFrame:
     return cf.predict_user(rated.where(_HELD_OUT), train, cf.user_similarity(train)).withColumn("stars", tp.rounded(F.col("stars")))
 
 
-QUERIES = {f.__name__: f for f in (prep_filter_join, baskets_sized, baskets_by_business, itemsets_1, itemsets_2, itemsets_3, itemsets_4, itemset_candidates, itemset_report_lines, itemsets_visits, minhash_signatures, lsh_candidates, similar_items, tf_words, idf_words, business_profile, user_profile, content_predict, item_similarity, user_similarity, predict_item, predict_user)}
+QUERIES = {f.__name__: f for f in (prep_filter_join, baskets_sized, baskets_by_business, itemsets_1, itemsets_2, itemsets_3, itemsets_4, pair_candidates, itemset_candidates, itemset_report_lines, itemsets_visits, minhash_signatures, lsh_candidates, similar_items, tf_words, idf_words, business_profile, user_profile, content_predict, item_similarity, user_similarity, predict_item, predict_user)}
 
 _W = r"E' \t\r\n'"
 _VISITS = f"""with v as (
@@ -258,6 +265,7 @@ join business b on nullif(trim(r.business_id, {_W}), '') = nullif(trim(b.busines
     "itemsets_2": _BRANDS + _levels(2, "0.02"),
     "itemsets_3": _BRANDS + _levels(3, "0.003"),
     "itemsets_4": _BRANDS + _levels(4, "0.0004"),
+    "pair_candidates": _BRANDS + f", s as ({_levels(1, '0.02')}) select distinct x.b i1, y.b i2 from h x join h y on x.o = y.o and x.b < y.b where x.b in (select i1 from s) and y.b in (select i1 from s)",
     "itemset_candidates": _PAIRS2 + "select a.i1, a.i2, b.i2 i3 from p2 a join p2 b on a.i1 = b.i1 and a.i2 < b.i2 join p2 c on c.i1 = a.i2 and c.i2 = b.i2",
     "itemset_report_lines": _BRANDS
     + f""", s1 as ({_levels(1, "0.003")}), s2 as ({_levels(2, "0.003")}), s3 as ({_levels(3, "0.003")})

@@ -56,8 +56,8 @@ def bfr_conserved(spark: SparkSession, folder: str) -> DataFrame:
     """After each round, the points in all three sets, which must be all points so far, and those that got a label."""
     fit = cl.Bfr(10).fit(points(spark, folder))
     held = fit.rounds().select("round_id", F.expr("nof_point_discard + nof_point_compression + nof_point_retained").alias("points"))
-    labelled = fit.labels().agg(F.count("*").alias("rows"), F.count_distinct("id").alias("ids"), F.sum(F.expr("cast(cluster between 0 and 9 as int)")).alias("in_range"))
-    return held.crossJoin(F.broadcast(labelled))  # one row
+    labelled = fit.labels().agg(F.count("*").alias("rows"), F.count_distinct("id").alias("ids"), F.sum(F.expr("cast(cluster between 0 and 9 as int)")).alias("in_range")).first()
+    return held.select("*", *[F.lit(v).cast("long").alias(c) for c, v in labelled.asDict().items()])
 
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
@@ -103,11 +103,16 @@ def distinct_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_distinct_windows(spark: SparkSession, folder: str) -> DataFrame:
     """The windows closed by a watermark of one day, from the events as a stream."""
+    closed = win.stream_distinct_windows(event_stream(spark, folder), "ts", "user_id", "3 days", "1 day", "1 day")
+    return _local(win.run_to_end(closed))
+
+
+def event_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The events as a stream, their time as a timestamp."""
     fields = table(spark, folder, "events").schema.fields
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     events = stream_folder(spark, folder, schema, "parquet", "events.parquet")
-    closed = win.stream_distinct_windows(events.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "user_id", "3 days", "1 day", "1 day")
-    return _local(win.run_to_end(closed))
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def reservoir_sample(spark: SparkSession, folder: str) -> DataFrame:
