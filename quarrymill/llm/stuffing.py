@@ -115,7 +115,8 @@ def word_features(codes: np.ndarray, lengths: np.ndarray, corpus: Corpus, outsid
     document than its corpus rate explains (log2), 3 share of pairs at least twice as often, 4 as 2 for single
     words, 5 links, 6 ends of sentences, 7 list marks, 8 log2 of the word's corpus rate, 9 rare words.
 
-    `outside` has the sorted keys of these documents' words and pairs outside the table and their corpus counts.
+    `outside` has the sorted keys of these documents' words and pairs outside the table and their corpus counts;
+    a key that is not among them stands in no other document, so its count is the one found here.
     """
     n = len(codes)
     doc = np.repeat(np.arange(len(lengths)), lengths)
@@ -128,8 +129,9 @@ def word_features(codes: np.ndarray, lengths: np.ndarray, corpus: Corpus, outsid
     if outside is not None:
         keys, counts = outside
         word_at, pair_at, word_key, pair_key = corpus.outside(codes, doc)
-        one[word_at] = np.log2((counts[np.searchsorted(keys, word_key)] + 1) / corpus.words)
-        pair[np.searchsorted(inner, pair_at)] = np.log2((counts[np.searchsorted(keys, pair_key)] + 0.25) / corpus.pairs)
+        followed = np.append(doc[:-1] == doc[1:], False)[word_at] if n else np.zeros(0)
+        one[word_at] = np.log2((_counts_of(word_key, followed, keys, counts) + 1) / corpus.words)
+        pair[np.searchsorted(inner, pair_at)] = np.log2((_counts_of(pair_key, np.ones(len(pair_key)), keys, counts) + 0.25) / corpus.pairs)
     pmi = np.clip(pair - one[inner] - one[inner + 1], -4, 10)
     excess = _excess(doc[inner], h[inner] * np.uint64(_ODD) + h[inner + 1], size[inner] * np.exp2(pair))
     for k, v in enumerate((pmi, pmi < 0, excess, excess > 1)):
@@ -150,6 +152,17 @@ def word_features(codes: np.ndarray, lengths: np.ndarray, corpus: Corpus, outsid
     return x
 
 
+def _counts_of(key: np.ndarray, weight: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The corpus count of each key, or the sum of its weights here where `keys` lacks it."""
+    at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
+    known = keys[at] == key if len(keys) else np.zeros(len(key), bool)
+    out = np.zeros(len(key))
+    out[known] = counts[at[known]]
+    _, back = np.unique(key[~known], return_inverse=True)
+    out[~known] = np.bincount(back, weight[~known])[back] if len(back) else 0
+    return out
+
+
 def _excess(doc: np.ndarray, key: np.ndarray, expected: np.ndarray) -> np.ndarray:
     """log2 of each key's count in its document over what the corpus rate explains, from 0 to 6."""
     mixed = (key * np.uint64(_ODD)) >> np.uint64(20) | doc.astype(np.uint64) << np.uint64(44)
@@ -233,8 +246,8 @@ def stuffed_pages(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
        `vocabulary` most used words: every task counts those of its documents in a table of that fixed size,
        and the tables are summed. All other words and pairs, each of them seldom: rows of (key, document),
        summed by key, map-side first, and brought back to the documents that hold them, those of keys that
-       very many documents hold apart from the others. So `vocabulary` decides where a pair is counted, not
-       its count.
+       very many documents hold apart from the others; a key of one document needs no bringing back. So
+       `vocabulary` decides where a pair is counted, not its count.
     3. Each word gets the mean pointwise mutual information of the pairs around it, the excess of repeated
        pairs over their corpus rate, and further means (word_features); from weights fitted on labelled
        documents it is judged stuffed or not. Word salad and lists lack the coherence of sentences, repeated
@@ -258,7 +271,7 @@ def stuffed_pages(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     corpus.finish(_pair_table(coded, corpus), words.count())
     shared = spark.sparkContext.broadcast(corpus)  # of a fixed size, given by `vocabulary`
     held = materialize(coded.mapInArrow(_outside(shared), "doc_id long, key long, n long"), "outside-keys")
-    sums = materialize(held.groupBy("key").agg(F.sum("n").alias("count"), F.count("*").alias("docs")), "outside-sums")
+    sums = materialize(held.groupBy("key").agg(F.sum("n").alias("count"), F.count("*").alias("docs")).where("docs > 1"), "outside-sums")
     held = attach_counts(held.select("doc_id", "key"), sums, "key", "docs", ["doc_id"]).select("doc_id", F.struct("key", "count").alias("k"))
     outside = materialize(held.groupBy("doc_id").agg(F.collect_list("k").alias("k")).select("doc_id", F.col("k.key").alias("keys"), F.col("k.count").alias("counts")), "outside-counts")
     empty = F.array().cast("array<bigint>")
