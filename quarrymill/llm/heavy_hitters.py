@@ -130,10 +130,10 @@ def build_sketch(hashes: DataFrame, depth: int, width_bits: int) -> tuple[Sketch
     parts = len(LEVELS) * depth
     # one row of counters per part: a task adds up whatever number of them, holding at most the whole sketch
     once = hashes.mapInArrow(local, schema)
-    merged = once.repartition(parts, "part").mapInArrow(summed, schema)
+    merged = once.repartition(len(LEVELS), "part").mapInArrow(summed, schema)
     sketch, n = Sketch(depth, width_bits), 0
     flat = sketch.cells.reshape(parts, -1)
-    for r in merged.toLocalIterator():  # `parts` rows of fixed size
+    for r in merged.toLocalIterator(prefetchPartitions=True):  # `parts` rows of fixed size
         flat[r["part"]] += np.frombuffer(zlib.decompress(r["cells"]), np.int64)
         n += r["n"]
     return sketch, n
