@@ -371,9 +371,9 @@ def _pair_table(coded: DataFrame, corpus: Corpus) -> np.ndarray:
             yield _block(k, cells)
 
     schema = "block int, cells binary"
-    summed = coded.select("codes").mapInArrow(count, schema).repartition(16, "block").mapInArrow(add, schema)
+    summed = coded.select("codes").mapInArrow(count, schema).repartition(8, "block").mapInArrow(add, schema)
     table = np.zeros(size * size, np.int64)
-    for r in summed.toLocalIterator():  # the table's fixed size
+    for r in summed.toLocalIterator(prefetchPartitions=True):  # the table's fixed size
         cells = np.frombuffer(zlib.decompress(r["cells"]), np.int64)
         table[r["block"] * BLOCK : r["block"] * BLOCK + len(cells)] = cells
     return table.reshape(size, size)
