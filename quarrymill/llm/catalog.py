@@ -15,7 +15,9 @@ from quarrymill.llm.packing import pack_documents
 from quarrymill.llm.sampling import fixed_size_sample
 from quarrymill.llm.set_join import similar_sets
 from quarrymill.llm.stuffing import stuffed_pages
+from quarrymill.operators.ids import dense_ids
 from quarrymill.operators.text_profiles import counted_terms, rounded
+from quarrymill.plans.skew import attach
 from quarrymill.plans.storage import materialize
 from quarrymill.sources.tables import counted_reviews, counted_tags, table, visits
 
@@ -123,21 +125,24 @@ EDITS = (5, 6, 8, 12)
 
 
 def p8_edited(spark: SparkSession, folder: str) -> DataFrame:
-    """Edited copies of every item, planted in the middle of other text: how many there are and how many are found.
+    """Edited copies planted at the end of every document, one item after the other: how many there are and how many
+    are found, by the rate of the edits.
 
-    A copy of rate r has every r-th word changed, which leaves no run of 12 words. Only the pairs of a copy and
-    its own item are counted.
+    A copy of rate r has every r-th word changed, which leaves no run of 12 words. Items of fewer words are not
+    planted; only the pair of a document and the item planted in it counts.
     """
-    items = table(spark, folder, "eval_item").select("item_id", F.expr(r"regexp_extract_all(lower(regexp_replace(text, '<[^>]*>', ' ')), '[a-z0-9]+', 0)").alias("w"))
-    items = items.where("size(w) >= 12")
-    copies = None
-    for r in EDITS:
-        words = F.expr(f"transform(w, (x, k) -> if(k % {r} = {r - 1}, concat('edited', k), x))")
-        one = items.select("item_id", F.lit(r).alias("rate"), F.concat_ws(" ", F.lit("see the opening hours and the way here "), F.array_join(words, " "), F.lit(" more about this place on the next page")).alias("text"))
-        copies = one if copies is None else copies.unionByName(one)
-    copies = materialize(copies.withColumn("doc_id", F.col("item_id") * 100 + F.col("rate")), "edited-copies")
-    found = leaked_items(copies, table(spark, folder, "eval_item")).select("doc_id", "item_id", F.lit(1).alias("hit"))
-    return copies.join(found, ["doc_id", "item_id"], "left").groupBy("rate").agg(F.count("*").alias("copies"), F.count("hit").alias("found"))
+    words = F.expr(r"regexp_extract_all(lower(regexp_replace(text, '<[^>]*>', ' ')), '[a-z0-9]+', 0)")
+    items = materialize(table(spark, folder, "eval_item").select("item_id", words.alias("w")).where("size(w) >= 12"), "items-to-plant")
+    rows = materialize(dense_ids(items, "item_id"), "item-rows")
+    n = max(1, rows.count())
+    texts = [F.struct(F.lit(r).alias("rate"), F.array_join(F.expr(f"transform(w, (x, k) -> if(k % {r} = {r - 1}, concat('edited', k), x))"), " ").alias("copy")) for r in EDITS]
+    copies = items.join(rows, "item_id").select("item_id", "row", F.posexplode(F.array(*texts)).alias("turn", "c")).select("item_id", "row", "turn", "c.*")
+    docs = table(spark, folder, "documents").where("doc_id is not null").select("doc_id", "text", F.expr(f"pmod(doc_id, {n})").alias("row"), F.expr(f"cast(pmod(doc_id div {n}, {len(EDITS)}) as int)").alias("turn"))
+    planted = attach(docs, materialize(copies, "edited-copies"), ["row", "turn"], "inner", ["doc_id"])
+    planted = materialize(planted.select("doc_id", "item_id", "rate", F.concat_ws(" ", "text", "copy").alias("text")), "planted")
+    found = leaked_items(planted, table(spark, folder, "eval_item")).select("doc_id", "item_id", F.lit(1).alias("hit"))
+    both = planted.select("doc_id", "item_id", "rate").join(found, ["doc_id", "item_id"], "left")
+    return both.groupBy("rate").agg(F.count("*").alias("copies"), F.count("hit").alias("found"))
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -213,6 +218,8 @@ ORACLES = {
   select b, word, f / fmax * log2(m / d) score from tf join df using (word) join sz using (b), m where f >= 5)
 qualify row_number() over (partition by b order by score desc, word) <= 3""",
     "p5_scores": _WORDS + "select b business_id, word, f, d, floor(f / norm * log2(m / d + 1) * 1e6 + 0.5) / 1e6 score from tf join df using (word) join sz using (b), m",
-    "p8_edited": _RUNS + f"select r::int rate, count(*) copies, count(*) found from w, (values {', '.join(f'({r})' for r in EDITS)}) e(r) where not is_doc and len(w) >= 12 group by 1",
+    "p8_edited": _RUNS
+    + f""", n as (select greatest(1, count(*)) n from w where not is_doc and len(w) >= 12)
+select [{", ".join(map(str, EDITS))}][(doc_id // n % {len(EDITS)} + 1)::int]::int rate, count(*) copies, count(*) found from documents, n where doc_id is not null group by 1""",
     "p8_found": _RUNS + "select distinct doc_id, item_id from d join g using (n, g)",
 }
