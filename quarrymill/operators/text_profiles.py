@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quarrymill.plans.skew import attach, attach_rows
+from quarrymill.plans.skew import attach, attach_counts, attach_rows
 from quarrymill.plans.storage import materialize
 
 
@@ -12,7 +12,8 @@ def term_counts(texts: DataFrame, record: str, words: str, stop: DataFrame | Non
     """(record, word, f) from rows with an array of words; a record may have many rows. Stop words are left out."""
     counts = texts.select(record, F.explode(words).alias("word")).where(f"word is not null and {record} is not null")
     counts = counts.groupBy(record, "word").agg(F.count("*").alias("f"))
-    return counts.join(stop.select("word").distinct(), "word", "left_anti") if stop is not None else counts
+    # a word stands in one row of each record, so a common one in very many
+    return attach(counts, stop.select("word").dropna().distinct(), ["word"], "left_anti", [record]) if stop is not None else counts
 
 
 def counted_terms(texts: DataFrame, record: str, words: str, stop: DataFrame | None = None) -> tuple[DataFrame, int]:
@@ -45,7 +46,8 @@ def rounded(c: Column) -> Column:
 
 def profiles(counts: DataFrame, record: str, n_docs: int, min_f: int = 5, top: int = 200) -> DataFrame:
     """(record, word, score): the `top` words of each record by tf * idf, equal ones (to six decimals) by word."""
-    scored = tf_words(counts, record, min_f).join(idf_words(counts, n_docs), "word")
+    used = materialize(counts.groupBy("word").agg(F.count("*").alias("d")), "word-records")
+    scored = attach_counts(tf_words(counts, record, min_f), used, "word", "d", [record]).withColumn("idf", F.log2(F.lit(float(n_docs)) / F.col("d")))
     scored = scored.withColumn("score", rounded(F.col("tf") * F.col("idf")))
     best = Window.partitionBy(record).orderBy(F.desc("score"), "word")
     return scored.withColumn("at", F.row_number().over(best)).where(F.col("at") <= top).select(record, "word", "score")
