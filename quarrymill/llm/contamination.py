@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +44,12 @@ class Items:
             for k in range(len(w) - n + 1):
                 grams[tuple(w[k : k + n].tolist())].append((i, k))
         self.grams = sorted(grams)
-        self.at = [grams[g] for g in self.grams]
+        # by number of an item: its id, length, and words with counts; by number of an n-gram: items and places
+        self.ids = np.array(list(self.words), np.int64)
+        self.length = np.array([len(w) for w in self.words.values()], np.int64)
+        number = {i: k for k, i in enumerate(self.words)}
+        self.bag_word, self.bag_times, self.bag_from = _end_to_end([self.bags[i] for i in self.words])
+        self.at_item, self.at_place, self.at_from = _end_to_end([([number[i] for i, _ in grams[g]], [k for _, k in grams[g]]) for g in self.grams])
         self.keys = {n: self._table(n) for n in sorted({len(g) for g in self.grams})}
 
     def _table(self, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,6 +102,19 @@ class Items:
         return _best_stretch(held[np.searchsorted(own, self.words[item])] > 0) >= score
 
 
+def _end_to_end(pairs: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two lists of each pair laid end to end, and where each begins."""
+    starts = np.concatenate(([0], np.cumsum([len(a) for a, _ in pairs]))).astype(np.int64)
+    flat = [np.concatenate([np.asarray(p[k], np.int64) for p in pairs]) if pairs else np.zeros(0, np.int64) for k in (0, 1)]
+    return *flat, starts
+
+
+def _spread(starts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the lists `which` that begin at `starts`, and their lengths."""
+    n = starts[which + 1] - starts[which]
+    return np.repeat(starts[which] - np.cumsum(n) + n, n) + np.arange(n.sum()), n
+
+
 def _best_stretch(matches: np.ndarray) -> int:
     sums = np.concatenate(([0], np.cumsum(np.where(matches, MATCH, max(MISMATCH, GAP)))))
     return int((sums - np.minimum.accumulate(sums)).max())
@@ -182,34 +200,62 @@ def _aligned(cases: list[tuple], min_share: float) -> list[tuple]:
 
 
 def _cases(doc_id: int, doc: np.ndarray, items: Items, min_share: float) -> Iterator[tuple]:
-    """Passages of a document to align: seeds of an item lie close to each other, with room for the item around."""
-    places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for g, at in zip(*(x.tolist() for x in items.hits(doc))):
-        for i, j in items.at[g]:
-            places[i].append((at, at - j))
-    if not places:
+    """Passages of a document to align: seeds of an item lie close to each other, with room for the item around.
+
+    All passages are judged at once by the words they share with their items, and only those that may reach the
+    least score, or hold enough seeds of a full run on one diagonal, are looked at one by one.
+    """
+    grams, at = items.hits(doc)
+    if not len(grams):
         return
-    in_doc = np.bincount(doc[doc >= 0], minlength=len(items.code))
-    for i, found in places.items():
-        item, least = items.words[i], min_share * MATCH * len(items.words[i])
-        m = len(item)
-        # a run of r words holds r - n + 1 seeds of n words on its diagonal
-        full = min(RUN, m)
-        seeds = full - min(GRAM, m) + 1
-        runs = len(found) >= seeds and {s for s, k in Counter(s for _, s in found).items() if k >= seeds}
-        own, times = items.bags[i]
-        if not runs and MATCH * int(np.minimum(in_doc[own], times).sum()) < least:
-            continue
-        found.sort()
-        start = 0
-        for k in range(1, len(found) + 1):
-            if k == len(found) or found[k][0] - found[k - 1][0] > m or found[k][0] - found[start][0] > 4 * m:
-                group = found[start:k]
-                start = k
-                lo, hi = max(0, group[0][0] - m), min(len(doc), group[-1][0] + m)
-                shifts = {s for _, s in group}
-                if (runs and any(longest_run(item, doc, s) >= full for s in shifts & runs)) or items.may_reach(i, doc[lo:hi], least):
-                    yield doc_id, i, max(longest_run(item, doc, s) for s in shifts), item, doc[lo:hi], lo, hi
+    which, n = _spread(items.at_from, grams)
+    item, at = items.at_item[which], np.repeat(at, n)
+    shift = at - items.at_place[which]
+    order = np.lexsort((at, item))
+    item, at, shift = item[order], at[order], shift[order]
+    m = items.length[item]
+    begin = np.flatnonzero(np.concatenate(([True], (item[1:] != item[:-1]) | (at[1:] - at[:-1] > m[1:]))))
+    end = np.append(begin[1:], len(at))
+    begin, end = _cut(at, m, begin, end)
+    own = item[begin]
+    size = items.length[own]
+    lo, hi = np.maximum(0, at[begin] - size), np.minimum(len(doc), at[end - 1] + size)
+    least = min_share * MATCH * size
+    # a run of r words holds r - n + 1 seeds of n words on its diagonal
+    full = np.minimum(RUN, size)
+    _, back, times = np.unique(item * (1 << 40) + shift, return_inverse=True, return_counts=True)
+    dense = times[back] >= np.minimum(RUN, m) - np.minimum(GRAM, m) + 1
+    run = np.logical_or.reduceat(dense, begin)
+    for k in np.flatnonzero(run | (_common_words(doc, items, own, lo, hi) >= least)).tolist():
+        mine = slice(begin[k], end[k])
+        words_, shifts = items.words[items.ids[own[k]]], set(shift[mine].tolist())
+        passage = doc[lo[k] : hi[k]]
+        exact = run[k] and any(longest_run(words_, doc, s) >= full[k] for s in set(shift[mine][dense[mine]].tolist()))
+        if exact or items.may_reach(items.ids[own[k]], passage, least[k]):
+            yield doc_id, int(items.ids[own[k]]), max(longest_run(words_, doc, s) for s in shifts), words_, passage, int(lo[k]), int(hi[k])
+
+
+def _cut(at: np.ndarray, m: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Groups of seeds that span more than four lengths of their item are cut where they pass it."""
+    if not (at[end - 1] - at[begin] > 4 * m[begin]).any():
+        return begin, end
+    starts = []
+    for b, e in zip(begin.tolist(), end.tolist()):
+        while b < e:
+            starts.append(b)
+            b += int(np.searchsorted(at[b:e], at[b] + 4 * m[b], "right"))
+    return np.array(starts), np.array([*starts[1:], end[-1]])
+
+
+def _common_words(doc: np.ndarray, items: Items, own: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """A match for each word that an item and its passage doc[lo:hi] have in common, in any order."""
+    n = len(doc) + 1
+    known = np.flatnonzero(doc >= 0)
+    places = np.sort(doc[known].astype(np.int64) * n + known)
+    which, k = _spread(items.bag_from, own)
+    word = items.bag_word[which] * n
+    held = np.searchsorted(places, word + np.repeat(hi, k)) - np.searchsorted(places, word + np.repeat(lo, k))
+    return MATCH * np.add.reduceat(np.minimum(held, items.bag_times[which]), np.cumsum(k) - k)
 
 
 def longest_run(item: np.ndarray, doc: np.ndarray, shift: int) -> int:
