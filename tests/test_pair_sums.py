@@ -36,3 +36,10 @@ def both(monkeypatch, query):
 def test_users_without_tables_of_pairs(spark, monkeypatch, star):
     rated = ratings(spark, 1, star)
     assert not both(monkeypatch, lambda: cf.user_similarity(rated)) & {"common-pairs", "candidates", "rated-pairs", "coded-pairs"}
+
+
+def test_predictions_of_users_without_a_model(spark, monkeypatch):
+    rated = ratings(spark, 2)
+    test = spark.createDataFrame([(f"u{u}", f"i{i}") for u in range(72) for i in (u % 7, 20 + u % 9, 95)], "user string, item string")
+    train = rated.join(test, ["user", "item"], "left_anti")
+    assert not both(monkeypatch, lambda: cf.predict_user(test, train)) & {"common-pairs", "candidates", "rated-pairs", "coded-pairs"}
