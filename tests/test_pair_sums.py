@@ -47,3 +47,10 @@ def test_predictions_of_users_without_a_model(spark, monkeypatch):
 
 def test_items_without_tables_of_pairs(spark, monkeypatch):
     assert not both(monkeypatch, lambda: cf.item_similarity(ratings(spark, 3))) & {"candidates", "counted-pairs", "rated-pairs", "coded-pairs"}
+
+
+def test_predictions_of_items_without_a_model(spark, monkeypatch):
+    rated = ratings(spark, 4)
+    test = spark.createDataFrame([(f"u{u}", f"i{i}") for u in range(72) for i in (u % 7, 20 + u % 9, 95)], "user string, item string")
+    train = rated.join(test, ["user", "item"], "left_anti")
+    assert not both(monkeypatch, lambda: cf.predict_item(test, train)) & {"candidates", "counted-pairs", "rated-pairs", "coded-pairs"}
