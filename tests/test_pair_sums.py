@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from quarrymill.operators import pair_sums, ratings as cf
+from quarrymill.operators import baskets, pair_sums, ratings as cf
 from quarrymill.plans import storage
 from tests.conftest import rows
 
@@ -54,3 +54,9 @@ def test_predictions_of_items_without_a_model(spark, monkeypatch):
     test = spark.createDataFrame([(f"u{u}", f"i{i}") for u in range(72) for i in (u % 7, 20 + u % 9, 95)], "user string, item string")
     train = rated.join(test, ["user", "item"], "left_anti")
     assert not both(monkeypatch, lambda: cf.predict_item(test, train)) & {"candidates", "counted-pairs", "rated-pairs", "coded-pairs"}
+
+
+def test_edges_without_tables_of_candidates(spark, monkeypatch):
+    seen = ratings(spark, 5)
+    query = lambda: baskets.cooccurrence_edges(seen, "user", "item", 2)
+    assert not both(monkeypatch, query) & {"rare-values", "candidates", "coded-pairs"}
