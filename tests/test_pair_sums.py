@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from quarrymill.operators import baskets, pair_sums, ratings as cf
+from quarrymill.operators import baskets, lsh, pair_sums, ratings as cf
 from quarrymill.plans import storage
 from tests.conftest import rows
 
@@ -60,3 +60,15 @@ def test_edges_without_tables_of_candidates(spark, monkeypatch):
     seen = ratings(spark, 5)
     query = lambda: baskets.cooccurrence_edges(seen, "user", "item", 2)
     assert not both(monkeypatch, query) & {"rare-values", "candidates", "coded-pairs"}
+
+
+def test_candidates_without_tables_of_buckets(spark, monkeypatch):
+    seen = ratings(spark, 6)
+    for bands, threshold in ((12, 0.0), (4, 0.5)):
+        before = {*storage._written}
+        found = lambda: rows(lsh.lsh_candidates(lsh.minhash(seen, "item", "user", 12), 12, bands, threshold))  # noqa: B023, E731
+        whole = found()
+        assert whole and "lsh-buckets" not in tables(before)
+        with monkeypatch.context() as m:
+            m.setattr(lsh, "WHOLE_VALUES", 0)
+            assert found() == whole
