@@ -72,3 +72,9 @@ def test_candidates_without_tables_of_buckets(spark, monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(lsh, "WHOLE_VALUES", 0)
             assert found() == whole
+
+
+def test_similar_sets_without_tables_of_candidates(spark, monkeypatch):
+    seen = ratings(spark, 7)
+    query = lambda: lsh.similar_pairs(seen, "item", "user", 12, 12, 0.1)
+    assert not both(monkeypatch, query) & {"lsh-buckets", "pairs", "counted-pairs", "coded-pairs"}
